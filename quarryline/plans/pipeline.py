@@ -32,18 +32,20 @@ def p2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 P2_FEATURES = """
-WITH one AS (
-  SELECT * FROM telemetry_events
-  QUALIFY row_number() OVER (
-    PARTITION BY CASE WHEN trim(coalesce(event_id, '')) = '' THEN 'row:' || id ELSE event_id END ORDER BY received_at, id) = 1
-), totals AS (
-  SELECT telemetry_id, count(event) AS events, coalesce(sum(tool_calls), 0)::BIGINT AS tool_calls_total,
-         coalesce(sum(turns), 0)::BIGINT AS turns_total
-  FROM one GROUP BY telemetry_id
-), wide AS (
-  PIVOT (SELECT telemetry_id, event, created_at FROM one) ON event USING count(*) AS events, max(created_at) AS last GROUP BY telemetry_id
+SELECT * FROM (
+  WITH one AS (
+    SELECT * FROM telemetry_events
+    QUALIFY row_number() OVER (
+      PARTITION BY CASE WHEN trim(coalesce(event_id, '')) = '' THEN 'row:' || id ELSE event_id END ORDER BY received_at, id) = 1
+  )
+  SELECT * FROM (
+    SELECT telemetry_id, count(event) AS events, coalesce(sum(tool_calls), 0)::BIGINT AS tool_calls_total,
+           coalesce(sum(turns), 0)::BIGINT AS turns_total
+    FROM one GROUP BY telemetry_id
+  ) JOIN (
+    PIVOT (SELECT telemetry_id, event, created_at FROM one) ON event USING count(*) AS events, max(created_at) AS last GROUP BY telemetry_id
+  ) USING (telemetry_id)
 )
-SELECT * FROM totals JOIN wide USING (telemetry_id)
 """
 
 
