@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.common import table
-from quarryline.llm import distinct, mixing, packing, percentiles, tokens
+from quarryline.llm import distinct, mixing, mojibake, packing, percentiles, tokens
 
 METRICS = ["first_assistant_response_ms", "first_tool_call_ms", "duration_secs"]
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -112,6 +112,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.damaged(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.damaged(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p4_percentiles": p4_percentiles,
     "p4_daily_partials": p4_daily_partials,
@@ -121,5 +129,7 @@ QUERIES = {
     "p8_report": p8_report,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 SQL = {"p4_percentiles": P4, "p4_daily_partials": P4_DAILY, "p7_distinct": P7}
