@@ -108,14 +108,23 @@ def _round(batches: Iterator[pa.RecordBatch], groups: list, targets: dict[int, l
 def select_ranks(cells: DataFrame, percentiles: list[float], max_rounds: int = 200) -> DataFrame:
     """grp, values, percentile, cell: the nearest-rank cell of each percentile of each group.
 
-    cells: grp string, cell long, n long. Only pivots and counts per (group, percentile) reach the driver; more than
-    MAX_TARGETS of them raise.
+    cells: grp string, cell long, n long. Only ranges and pivots of (group, percentile) pairs stand on the driver; groups
+    are taken in turns of at most MAX_TARGETS pairs, each a selection of its own.
     """
     spark = cells.sparkSession
     cells = cut(cells.select("grp", "cell", "n"))
-    totals = cells.groupBy("grp").agg(F.sum("n").alias("n"), F.min("cell").alias("low"), F.max("cell").alias("high")).limit(MAX_TARGETS + 1).collect()
-    if len(totals) * len(percentiles) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} groups times percentiles")
+    totals = cut(cells.groupBy("grp").agg(F.sum("n").alias("n"), F.min("cell").alias("low"), F.max("cell").alias("high")))
+    turns = max(1, -(-totals.count() * len(percentiles) // MAX_TARGETS))
+    turn = F.pmod(F.xxhash64("grp"), F.lit(turns))
+    out = []
+    for t in range(turns):
+        own = cells if turns == 1 else cells.where(turn == t)
+        out.append(_select(own, (totals if turns == 1 else totals.where(turn == t)).collect(), percentiles, max_rounds))
+    rows = [row for part in out for row in part]
+    return spark.createDataFrame(rows, "grp string, `values` long, percentile double, cell long")
+
+
+def _select(cells: DataFrame, totals: list, percentiles: list[float], max_rounds: int) -> list[tuple]:
     groups = [r["grp"] for r in totals]
     # Of each target: group, rank within the open range (low, high), range, pivot.
     state = [
@@ -154,8 +163,7 @@ def select_ranks(cells: DataFrame, percentiles: list[float], max_rounds: int = 2
             s["pivot"] = min(s["high"] - 1, max(s["low"] + 1, math.floor(pivot)))
     if len(found) < len(state):
         raise RuntimeError("ranks not found")
-    rows = [(groups[s["g"]], s["n"], s["p"], found[t]) for t, s in enumerate(state)]
-    return spark.createDataFrame(rows, "grp string, `values` long, percentile double, cell long")
+    return [(groups[s["g"]], s["n"], s["p"], found[t]) for t, s in enumerate(state)]
 
 
 def with_error(found: DataFrame, bits: int = BITS) -> DataFrame:
@@ -178,10 +186,15 @@ def version_name(c: Column) -> Column:
 
 
 def version_percentiles(events: DataFrame, metrics: list[str], percentiles: list[float], bits: int = BITS) -> DataFrame:
-    """Percentiles of each metric per version, from daily partials; every stored row counts."""
+    """Percentiles of each metric per version, for each day and for all days ('(all)'); every stored row counts.
+
+    All come from the same daily partials: a day's own, and the sum over the days.
+    """
     partials = daily_partials(events, F.to_date("created_at"), version_name(F.col("version")), metrics, bits)
-    key = F.concat_ws("\t", "metric", "grp")
-    cells = merge(partials, "grp", "metric").select(key.alias("grp"), "cell", "n")
+    day = F.coalesce(F.col("day").cast("string"), F.lit("(unknown)"))
+    periods = partials.select(F.explode(F.array(day, F.lit("(all)"))).alias("period"), "grp", "metric", "cell", "n")
+    key = F.concat_ws("\t", "period", "metric", "grp")
+    cells = merge(periods, "period", "grp", "metric").select(key.alias("grp"), "cell", "n")
     found = with_error(select_ranks(cells, percentiles), bits)
-    parts = F.split("grp", "\t", 2)
-    return found.select(parts[1].alias("version"), parts[0].alias("metric"), "percentile", "values", "estimate", "lower", "upper", "max_error")
+    parts = F.split("grp", "\t", 3)
+    return found.select(parts[0].alias("period"), parts[2].alias("version"), parts[1].alias("metric"), "percentile", "values", "estimate", "lower", "upper", "max_error")

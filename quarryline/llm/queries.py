@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.common import table
-from quarryline.llm import distinct, mixing, mojibake, packing, percentiles, tokens
+from quarryline.llm import distinct, mixing, mojibake, packing, percentiles, pii, tokens
 
 METRICS = ["first_assistant_response_ms", "first_tool_call_ms", "duration_secs"]
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -35,21 +35,31 @@ WITH vals AS (
 P4_DAILY = _CELLS + "SELECT day, version, metric, cell, count(*) AS n FROM cells GROUP BY ALL"
 P4 = (
     _CELLS
-    + """, ranked AS (
-  SELECT version, metric, cell, row_number() OVER (PARTITION BY version, metric ORDER BY cell) AS k, count(*) OVER (PARTITION BY version, metric) AS n
-  FROM cells
+    + """, periods AS (
+  SELECT coalesce(day::VARCHAR, '(unknown)') AS period, version, metric, cell FROM cells UNION ALL SELECT '(all)', version, metric, cell FROM cells
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY period, version, metric ORDER BY cell) AS k, count(*) OVER (PARTITION BY period, version, metric) AS n
+  FROM periods
 ), picked AS (
-  SELECT version, metric, p AS percentile, n AS "values", cell, (1::BIGINT << greatest(length(bin(abs(cell))) - 8, 0)::INT) - 1 AS far
+  SELECT period, version, metric, p AS percentile, n AS "values", cell, (1::BIGINT << greatest(length(bin(abs(cell))) - 8, 0)::INT) - 1 AS far
   FROM ranked, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99])::DOUBLE AS p)
   WHERE k = greatest(1, ceil(p * n - 1e-9)::BIGINT)
 )
-SELECT version, metric, percentile, "values", least(cell, cell + sign(cell) * far)::BIGINT AS lower, greatest(cell, cell + sign(cell) * far)::BIGINT AS upper,
-       cell + sign(cell) * far / 2 AS estimate, far / 2 AS max_error
+SELECT period, version, metric, percentile, "values", least(cell, cell + sign(cell) * far)::BIGINT AS lower,
+       greatest(cell, cell + sign(cell) * far)::BIGINT AS upper, cell + sign(cell) * far / 2 AS estimate, far / 2 AS max_error
 FROM picked
 """
 )
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "display_messages")).drop("end_char")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "display_messages"))
+
+
 def p7_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.distinct_members(table(spark, sf_dir, "telemetry_events"), table(spark, sf_dir, "web_details"))[1]
 
@@ -123,6 +133,8 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p4_percentiles": p4_percentiles,
     "p4_daily_partials": p4_daily_partials,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p7_distinct": p7_distinct,
     "p7_daily_partials": p7_daily_partials,
     "p8_containers": p8_containers,
