@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pipeline", "telemetry")
+MODULES = ("pipeline", "telemetry", "sessions")
 
 
 def queries() -> dict:
