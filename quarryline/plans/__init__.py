@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pipeline", "telemetry", "sessions")
+MODULES = ("pipeline", "telemetry", "sessions", "search")
 
 
 def queries() -> dict:
