@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pipeline", "telemetry", "sessions", "search")
+MODULES = ("pipeline", "telemetry", "sessions", "search", "graphs")
 
 
 def queries() -> dict:
