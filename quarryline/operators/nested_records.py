@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,6 +28,8 @@ OCCURRENCE = (
 #: More array fields than this and they are joined per record instead of being sent to the tasks.
 MAX_SENT_PATHS = 20_000
 CHUNK = 20_000
+#: The walk goes as deep as a record does.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 
 
 def unquoted(value):
