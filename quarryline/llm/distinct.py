@@ -72,6 +72,10 @@ def _os_name(c: Column) -> Column:
     return F.coalesce(F.when(own != "", own), F.lit("(unknown)"))
 
 
+def _day(c: str) -> Column:
+    return F.coalesce(F.to_date(c).cast("string"), F.lit("(unknown)")).alias("day")
+
+
 def active_members(telemetry: DataFrame, web: DataFrame) -> DataFrame:
     """kind, day, version, os, member: installations of all events, and visitors of web events.
 
@@ -82,10 +86,10 @@ def active_members(telemetry: DataFrame, web: DataFrame) -> DataFrame:
     from quarryline.llm.percentiles import version_name
 
     events = telemetry.select(
-        F.lit("telemetry_id").alias("kind"), F.to_date("created_at").alias("day"), version_name(F.col("version")).alias("version"), _os_name(F.col("os")).alias("os"), uuid_key(F.col("telemetry_id")).alias("member")
+        F.lit("telemetry_id").alias("kind"), _day("created_at"), version_name(F.col("version")).alias("version"), _os_name(F.col("os")).alias("os"), uuid_key(F.col("telemetry_id")).alias("member")
     )
     sources = telemetry.select(uuid_key(F.col("event_id")).alias("key"), version_name(F.col("version")).alias("version"), _os_name(F.col("os")).alias("os"))
-    keyed = web.select(uuid_key(F.col("event_id")).alias("key"), F.to_date("received_at").alias("day"), uuid_key(F.col("visitor_id")).alias("member")).where("member is not null")
+    keyed = web.select(uuid_key(F.col("event_id")).alias("key"), _day("received_at"), uuid_key(F.col("visitor_id")).alias("member")).where("member is not null")
     # Only events that web records name: one row per key, before and after a semi-join reduced shuffle.
     known = sources.where("key is not null").join(keyed.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("version").alias("version"), F.min("os").alias("os"))
     unknown = F.lit("(unknown)")

@@ -30,6 +30,7 @@ ENTER, LEAVE = -5.5, -2.5
 LEAST_ODDS = 7.0
 #: Times a pair of neighbours must occur in clean training text to be no sign of damage.
 ORDINARY = 4
+SIGNS = "°±×÷€£¥§©®™½¼"
 NONE = "�"
 
 # -- encodings ---------------------------------------------------------------------------------------------------------
@@ -193,6 +194,8 @@ class Model:
             mine = data["state"] == s
             counts = np.zeros((K, K))
             counts[data["before"][mine], data["at"][mine]] = data["n"][mine]
+            if s == 0:
+                self.add_signs(counts)
             self.log_p[s] = self.smooth(counts)
             if s == 0:
                 ordinary = counts >= ORDINARY
@@ -202,6 +205,15 @@ class Model:
         self.gain = self.log_p[1:].max(axis=0) - self.log_p[0]
         self.gain[:ASCII_CLASSES, :ASCII_CLASSES] = 0
 
+    @staticmethod
+    def add_signs(counts: np.ndarray) -> None:
+        """Signs that any text may hold beside numbers and words, whether or not training text did."""
+        signs = classes(SIGNS)
+        for names, after in ((("space", "digit"), False), (("space", "lower", "upper", "digit", "mark"), True)):
+            for k in map(CLASSES.index, names):
+                where = (signs, k) if after else (k, signs)
+                counts[where] = np.maximum(counts[where], ORDINARY)
+
     @staticmethod
     def smooth(counts: np.ndarray) -> np.ndarray:
         total = counts.sum()
