@@ -91,7 +91,8 @@ def chain_roots(parents: DataFrame) -> DataFrame:
     known = parents.select(F.col("id").alias("parent"))
     state = parents.join(known.withColumn("known", F.lit(True)), "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up"))
     state = cut(state.select("id", F.coalesce("up", "id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("up").isNull().alias("done")))
-    for _ in range(64):
+    # A chain of n rows is done after log n rounds; what is open then leads into a loop.
+    for _ in range(state.count().bit_length() + 1):
         if state.where("NOT done").isEmpty():
             break
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("done").alias("done2"))
