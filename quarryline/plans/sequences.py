@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.common import table
+from quarryline.functions import scores
 from quarryline.operators.rollups import flag
 
 QUERIES, SQL = {}, {}
@@ -70,3 +71,20 @@ def safe_cutoffs(spark, d):
     m = m.withColumn("after", F.coalesce(F.lead("role").over(w), F.lit(""))).withColumn("rest", F.count("*").over(Window.partitionBy("session_id")) - F.row_number().over(w))
     safe = (F.col("role") != "tool") & (F.col("after") != "tool") & (F.col("rest") >= 4)
     return m.groupBy("session_id").agg(F.coalesce(F.max(F.when(safe, F.col("seq"))), F.lit(0)).alias("cut_after"))
+
+
+@query("""SELECT event_id, round(least(1.0, value / 100.0 * exp(-floor((epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 8.64e10) / CASE event_type WHEN 'signup' THEN 365.0 WHEN 'purchase' THEN 90.0 WHEN 'view' THEN 30.0 WHEN 'click' THEN 60.0 ELSE 45.0 END * 0.693) * (1 + 0.1 * ln((props->>'$.k')::INT + 1.0))), 8) AS confidence FROM events""")
+def decayed_confidence(spark, d):
+    """Confidence of an event by its age, kind and use."""
+    e = table(spark, d, "events")
+    last = F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp")
+    age = (F.unix_micros(last) - F.unix_micros(F.col("ts").cast("timestamp"))) / 8.64e10
+    names = {"signup": "correction", "purchase": "preference", "view": "fact", "click": "entity"}
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in names.items()), F.lit("other"))
+    score = scores.decayed_confidence(F.col("value") / 100.0, age, kind, F.get_json_object("props", "$.k").cast("int"))
+    return e.select("event_id", F.round(score, 8).alias("confidence"))
+
+
+@query("""SELECT event_id, CASE WHEN d <= 0 THEN 1.0 WHEN d < 6 THEN 0.92 WHEN d < 660 THEN 0.68 WHEN d < 25200 THEN 0.45 ELSE 0.25 END::DOUBLE AS freshness FROM (SELECT upload_id AS event_id, (epoch_us(received_at) - epoch_us(created_at)) / 1e6 AS d FROM transcript_uploads)""")
+def upload_freshness(spark, d):
+    return table(spark, d, "transcript_uploads").select(F.col("upload_id").alias("event_id"), scores.freshness(F.col("created_at"), F.col("received_at")).alias("freshness"))
