@@ -54,33 +54,48 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def stuck_in_cycles(items: DataFrame, needs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Items in a cycle or downstream of one: what is left when free items are removed again and again.
+def stuck_in_cycles(items: DataFrame, needs: DataFrame) -> DataFrame:
+    """Items in a cycle or downstream of one: what is left when free items are removed until none is free.
 
-    needs: id, dep. Dependencies on unknown items count as met. Each round removes a whole layer.
+    needs: id, dep. Dependencies on unknown items count as met. Each round removes a layer, and a dependency on an item
+    with a single one of its own moves on to that one (pointer doubling): a chain of n takes log n rounds.
     """
     left = cut(needs.select("id", "dep").distinct().join(items.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi"))
     before = left.count()
-    for _ in range(max_rounds):
+    while True:
         blocked = left.select(F.col("id").alias("dep")).distinct()
         left = cut(left.join(blocked, "dep", "left_semi"))
-        now = left.count()
-        if now in (0, before):
-            break
-        before = now
-    return left.select("id").distinct()
-
-
-def longest_paths(items: DataFrame, needs: DataFrame, max_rounds: int) -> DataFrame:
-    """Longest chain of dependencies below each item, at most `max_rounds` long."""
-    level = items.select("id").distinct().withColumn("depth", F.lit(0))
-    edges = needs.select("id", "dep").distinct()
-    for n in range(max_rounds):
-        up = edges.join(level.where(F.col("depth") == n).select(F.col("id").alias("dep")), "dep", "left_semi").select("id", F.lit(n + 1).alias("depth"))
-        level = cut(level.unionByName(up).groupBy("id").agg(F.max("depth").alias("depth")))
-        if level.where(F.col("depth") == n + 1).isEmpty():
-            break
-    return level
+        if left.count() in (0, before):
+            return left.select("id").distinct()
+        single = left.groupBy("id").agg(F.count("*").alias("n"), F.min("dep").alias("next")).where("n = 1").select(F.col("id").alias("dep"), "next")
+        left = cut(left.join(single, "dep", "left").select("id", F.coalesce("next", "dep").alias("dep")).distinct())
+        before = left.count()
+
+
+def longest_paths(items: DataFrame, needs: DataFrame) -> DataFrame:
+    """Longest chain of dependencies below each item; a cycle raises.
+
+    Dependencies on unknown items count as met. An edge to a settled item becomes a least depth (`base`); one to an item
+    with a single open dependency moves on to that one, with its length: a chain of n takes log n rounds.
+    """
+    own = needs.select("id", "dep").distinct().join(items.select(F.col("id").alias("dep")).distinct(), "dep", "left_semi")
+    edges = cut(own.select("id", "dep", F.lit(1).alias("length")))
+    level = cut(items.select("id").unionByName(edges.select("id")).distinct().withColumn("base", F.lit(0)))
+    before = edges.count()
+    while before:
+        per = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("dep").alias("next"), F.max("length").alias("more"))
+        state = level.join(per, "id", "left").select(F.col("id").alias("dep"), F.col("base").alias("base2"), F.coalesce("n", F.lit(0)).alias("n"), "next", "more")
+        met = cut(edges.join(state, "dep"))
+        # What a passed item needs at least holds for those above it, too.
+        least = met.where("n < 2").select("id", (F.col("base2") + F.col("length")).alias("base"))
+        level = cut(level.unionByName(least).groupBy("id").agg(F.max("base").alias("base")))
+        open_ = met.where("n > 0")
+        if open_.count() == before:
+            raise ValueError("the dependencies have a cycle")
+        moved = open_.select("id", F.when(F.col("n") == 1, F.col("next")).otherwise(F.col("dep")).alias("dep"), (F.col("length") + F.when(F.col("n") == 1, F.col("more")).otherwise(0)).alias("length"))
+        edges = cut(moved.groupBy("id", "dep").agg(F.max("length").alias("length")))
+        before = edges.count()
+    return level.select("id", F.col("base").alias("depth"))
 
 
 def chain_roots(parents: DataFrame) -> DataFrame:
@@ -101,19 +116,25 @@ def chain_roots(parents: DataFrame) -> DataFrame:
     return state.where("done").select("id", F.col("up").alias("root"), "depth")
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components: node, component (its greatest node).
 
-    Every node takes the greatest label that reaches it; of each label, the nodes that reach its owner form a component;
-    they are removed and the rest goes on.
+    Nodes that no cycle reaches or that reach none are components of their own. Every other node takes the greatest label
+    that reaches it; of each label, the nodes that reach its owner form a component; they are removed and the rest goes
+    on until nothing is left. Labels are in the order of a hash, so that a row of components, however numbered, is halved
+    by a round rather than shortened by one.
     """
     left = cut(edges.select("src", "dst").distinct())
     nodes = cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
-    done: DataFrame | None = None
-    for _ in range(max_rounds):
-        if nodes.isEmpty():
-            break
-        label = nodes.withColumn("label", F.col("node"))
+    every = nodes.select(F.col("node").alias("id"))
+    into_cycle = stuck_in_cycles(every, left.select(F.col("src").alias("id"), F.col("dst").alias("dep"))).withColumnRenamed("id", "node")
+    from_cycle = stuck_in_cycles(every, left.select(F.col("dst").alias("id"), F.col("src").alias("dep"))).withColumnRenamed("id", "node")
+    core = cut(into_cycle.join(from_cycle, "node", "left_semi"))
+    done = nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
+    nodes = core
+    while not nodes.isEmpty():
+        left = cut(left.join(nodes, left["src"] == nodes["node"], "left_semi").join(nodes, left["dst"] == nodes["node"], "left_semi"))
+        label = nodes.withColumn("label", F.struct(F.xxhash64("node").alias("rank"), F.col("node").alias("owner")))
         while True:
             sent = left.join(label, left["src"] == label["node"]).select(F.col("dst").alias("node"), "label")
             new = cut(label.unionByName(sent).groupBy("node").agg(F.max("label").alias("label")))
@@ -121,6 +142,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             label = new
             if not changed:
                 break
+        label = label.select("node", F.col("label.owner").alias("label"))
         member = label.where("node = label")
         colours = label.select(F.col("node").alias("src"), F.col("label").alias("own"))
         while True:
@@ -130,11 +152,10 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             if new.count() == member.count():
                 break
             member = new
-        part = member.select("node", F.col("label").alias("component"))
-        done = part if done is None else done.unionByName(part)
+        greatest = member.groupBy("label").agg(F.max("node").alias("component"))
+        done = done.unionByName(member.join(greatest, "label").select("node", "component"))
         nodes = cut(nodes.join(member, "node", "left_anti"))
-        left = cut(left.join(nodes, left["src"] == nodes["node"], "left_semi").join(nodes, left["dst"] == nodes["node"], "left_semi"))
-    return done if done is not None else nodes.select("node", F.col("node").alias("component"))
+    return done
 
 
 def plan_state(items: DataFrame, needs: DataFrame, done: Column, active: Column) -> DataFrame:

@@ -99,7 +99,7 @@ def cycle_items(spark, d):
 @query(f"SELECT o_orderkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS depth FROM orders")
 def dependency_depth(spark, d):
     o, chain, _ = _needs(spark, d)
-    return G.longest_paths(o, chain, 10_000)
+    return G.longest_paths(o, chain)
 
 
 @query("SELECT o_orderkey AS id, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS depth FROM orders")

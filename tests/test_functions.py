@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,42 @@ def test_graph_small(spark):
     assert G.components(edges.limit(0)).count() == 0
 
 
+def test_graph_deep(spark):
+    n = 300
+    path = spark.createDataFrame([(i, i - 1) for i in range(n, 1, -1)], "src int, dst int")
+    assert {(r["node"], r["component"]) for r in G.components(path).collect()} == {(i, i) for i in range(1, n + 1)}
+    n = 12_000  # more than 10,000 layers
+    items = spark.range(1, n + 1).select(F.col("id").cast("int").alias("id"))
+    chain = items.where("id > 1").select("id", (F.col("id") - 1).alias("dep"))
+    assert G.stuck_in_cycles(items, chain).count() == 0
+    assert {(r["id"], r["depth"]) for r in G.longest_paths(items, chain).collect()} == {(i, i - 1) for i in range(1, n + 1)}
+    closed = chain.unionByName(spark.createDataFrame([(6000, 6001)], "id int, dep int"))
+    assert G.stuck_in_cycles(items, closed).agg(F.min("id"), F.count("*")).first()[:] == (6000, n - 5999)
+    with pytest.raises(ValueError):
+        G.longest_paths(items.limit(3), spark.createDataFrame([(1, 2), (2, 1)], "id int, dep int"))
+
+
+def test_graph_against_brute_force(spark):
+    r = random.Random(5)
+    n, m = 14, 20
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+    reach = {(a, b) for a, b in pairs}
+    for k in range(n):
+        reach |= {(a, b) for a in range(n) for b in range(n) if (a, k) in reach and (k, b) in reach}
+    nodes = {x for p in pairs for x in p}
+    want = {(a, max([a, *(b for b in nodes if (a, b) in reach and (b, a) in reach)])) for a in nodes}
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    assert {(x["node"], x["component"]) for x in G.components(edges).collect()} == want
+    items = spark.createDataFrame([(i,) for i in range(n)], "id int")
+    stuck = {a for a in nodes if (a, a) in reach or any((a, b) in reach and (b, b) in reach for b in nodes)}
+    assert {x["id"] for x in G.stuck_in_cycles(items, edges.toDF("id", "dep")).collect()} == stuck
+    down = sorted({(max(p), min(p)) for p in pairs if p[0] != p[1]})
+    depth = {}
+    for i in range(n):
+        depth[i] = max([0, *(depth[d] + 1 for a, d in down if a == i)])
+    assert {x["id"]: x["depth"] for x in G.longest_paths(items, spark.createDataFrame(down, "id int, dep int")).collect()} == depth
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.JSONL").write_text('{"role":"user","content":"hi","session_id":"s","timestamp":"2026-03-01T00:00:00Z"}\n{bad\n{"role":"tool","content":"x"}\n')
