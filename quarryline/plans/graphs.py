@@ -68,6 +68,21 @@ def mutual_links(spark, d):
     return G.contradictions(_links(spark, d))
 
 
+_ALL_LINKS = "(SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % (SELECT max(o_custkey) + 1 FROM orders) AS dst FROM orders)"
+
+
+def _all_links(spark, d):
+    """A link per order, from its customer to any other: _links() without the bound on customers."""
+    o = table(spark, d, "orders")
+    size = o.agg((F.max("o_custkey") + 1).alias("size"))
+    return o.join(F.broadcast(size)).select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7) % F.col("size")).alias("dst")).distinct()
+
+
+@query(f"WITH l AS {_ALL_LINKS} SELECT a.src, a.dst FROM l a JOIN l b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+def mutual_links_all(spark, d):
+    return G.contradictions(_all_links(spark, d))
+
+
 def _needs(spark, d):
     """Tasks are orders; each needs the customer's previous one, every 50th also a later one (a cycle), every 70th one that isn't there."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("status"))
@@ -116,6 +131,13 @@ def strong_components(spark, d):
     return G.components(_links(spark, d))
 
 
+def strong_components_all(spark, d):
+    return G.components(_all_links(spark, d))
+
+
+QUERIES["strong_components_all"] = strong_components_all
+
+
 @query(f"SELECT id, o_orderpriority AS priority FROM (SELECT o_orderkey AS id, o_orderpriority FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT n.id FROM {_NEEDS} n LEFT JOIN orders s ON s.o_orderkey = n.dep WHERE s.o_orderkey IS NULL OR s.o_orderstatus <> 'F')) ORDER BY o_orderpriority, id LIMIT 20")
 def next_tasks(spark, d):
     o, _, needs = _needs(spark, d)

@@ -8,6 +8,7 @@ from quarryline.functions import text as X
 from quarryline.operators import graph as G
 from quarryline.operators import retrieval as R
 from quarryline.operators import series as S
+from quarryline.plans import graphs
 from quarryline.sources import files
 from quarryline.streaming import events as E
 
@@ -130,6 +131,24 @@ def test_graph_against_brute_force(spark):
     assert {x["id"]: x["depth"] for x in G.longest_paths(items, spark.createDataFrame(down, "id int, dep int")).collect()} == depth
 
 
+def test_links_of_all_customers(spark, tmp_path):
+    r = random.Random(8)
+    orders = [(k, r.randrange(1, 150)) for k in range(1, 260)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    size = max(c for _, c in orders) + 1
+    links = {(c, k * 7 % size) for k, c in orders}
+    nodes = {x for p in links for x in p}
+    reach = {a: {a} for a in nodes}
+    for _ in nodes:
+        for a, b in links:
+            reach[a] |= reach[b]
+    want = {(a, max(b for b in reach[a] if a in reach[b])) for a in nodes}
+    assert {(x["node"], x["component"]) for x in graphs.strong_components_all(spark, str(tmp_path)).collect()} == want
+    mutual = {(x["src"], x["dst"]) for x in graphs.mutual_links_all(spark, str(tmp_path)).collect()}
+    assert mutual == {(a, b) for a, b in links if a < b and (b, a) in links}
+    assert max(a for a, _ in want) >= 97 and any(a != c for a, c in want)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.JSONL").write_text('{"role":"user","content":"hi","session_id":"s","timestamp":"2026-03-01T00:00:00Z"}\n{bad\n{"role":"tool","content":"x"}\n')
