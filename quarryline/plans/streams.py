@@ -36,7 +36,7 @@ def _stream(spark, d):
 
 @query("SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM telemetry_events) GROUP BY 1")
 def stream_dedup(spark, d):
-    out = E.run_once(E.deduplicated(_stream(spark, d).select("event_id", "received_at")), _folder(spark))
+    out = E.run_once(E.deduplicated(_stream(spark, d).select("event_id", "received_at"), None), _folder(spark))
     return out.groupBy("event_id").agg(F.count("*").alias("n"))
 
 
@@ -46,7 +46,7 @@ def stream_rollup(spark, d):
 
 
 def stream_sessions(spark, d):
-    return E.run_once(E.sessions(_stream(spark, d)), _folder(spark))
+    return E.run_sessions(_stream(spark, d), _folder(spark))
 
 
 QUERIES["stream_sessions"] = stream_sessions

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,8 +22,13 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
-def deduplicated(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """First delivery of each event id; state is dropped when the watermark passes."""
+def deduplicated(events: DataFrame, delay: str | None = "2 days") -> DataFrame:
+    """First delivery of each event id; state is dropped when the watermark passes, without a delay never.
+
+    With a delay, what is found depends on the order of arrival: rows behind the watermark are dropped.
+    """
+    if delay is None:
+        return events.dropDuplicates(["event_id"])
     own = events.withColumn("arrived", F.col("received_at").cast("timestamp")).withWatermark("arrived", delay)
     return own.dropDuplicatesWithinWatermark(["event_id"]).drop("arrived")
 
@@ -86,6 +91,29 @@ def sessions(events: DataFrame, timeout_ms: int = 3_600_000, delay: str = "2 day
     return own.groupBy("session_id").applyInPandasWithState(fold, out, "n long, turns long, tools long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def whole_sessions(events: DataFrame, timeout_ms: int = 3_600_000, delay_ms: int = 172_800_000) -> DataFrame:
+    """What sessions() yields when all events come in one batch, whatever files they are in.
+
+    A session start begins another stretch, an end or crash closes one; an open stretch is closed by silence once the
+    latest event of all is `delay_ms` and the timeout past its last, else not given.
+    """
+    is_ = lambda *kinds: F.coalesce(F.col("event").isin(*kinds), F.lit(False))
+    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_last("created_at"), F.asc_nulls_last("id"))
+    ends = is_("session_end", "session_crash")
+    own = events.select("session_id", "id", "event", "created_at", "tool_calls", F.col("created_at").cast("timestamp").alias("at"))
+    own = own.withColumn("ends", ends).withColumn("begins", is_("session_start") | F.coalesce(F.lag("ends").over(w), F.lit(False)))
+    own = own.withColumn("stretch", F.sum(F.col("begins").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per = own.groupBy("session_id", "stretch").agg(
+        F.count("*").alias("events"), F.count_if(is_("turn_end")).alias("turns"), F.sum(F.coalesce(F.col("tool_calls").cast("long"), F.lit(0))).alias("tools"),
+        F.max(F.when(F.col("ends"), F.col("event"))).alias("end"), F.max("at").alias("last"),
+    )
+    more = F.lead("stretch").over(Window.partitionBy("session_id").orderBy("stretch")).isNotNull()
+    latest = events.agg((F.unix_millis(F.max(F.col("created_at").cast("timestamp"))) - delay_ms).alias("mark"))
+    silent = F.coalesce(F.unix_millis("last"), F.lit(0)) + timeout_ms < F.col("mark")
+    both = per.withColumn("more", more).join(F.broadcast(latest)).withColumn("closed_by", F.coalesce("end", F.when(F.col("more"), "superseded").when(silent, "silence")))
+    return both.where("closed_by IS NOT NULL").select("session_id", "events", "turns", "tools", "closed_by")
+
+
 def expired(events: DataFrame, now, days: dict[str, int | None] = RETENTION_DAYS, otherwise: int = 60) -> DataFrame:
     """Rows past the retention of their kind."""
     limit = F.when(F.col("event").isin([k for k, v in days.items() if v is None]), F.lit(None).cast("int"))
@@ -115,6 +143,12 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{name}/out")
 
 
+def run_sessions(stream: DataFrame, folder: str) -> DataFrame:
+    """Sessions of all files there are: batches are kept as they come, then folded in order of time."""
+    own = stream.select("session_id", "id", "event", "created_at", "tool_calls")
+    return whole_sessions(run_once(own, folder))
+
+
 def run_rollup(stream: DataFrame, folder: str) -> DataFrame:
     name = f"{folder}/{uuid.uuid4().hex}"
     query = stream.writeStream.foreachBatch(rollup_sink(f"{name}/rollup")).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start()

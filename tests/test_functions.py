@@ -2,15 +2,17 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import graph as G
 from quarryline.operators import retrieval as R
 from quarryline.operators import series as S
-from quarryline.plans import graphs
+from quarryline.plans import graphs, streams
 from quarryline.sources import files
 from quarryline.streaming import events as E
+from tests.compare import DATA
 
 
 def one(spark, make, value):
@@ -168,6 +170,21 @@ def test_files(spark, tmp_path):
     assert json.loads(good.toJSON().first())["role"] == "user"
 
 
+def test_streams_of_many_files(spark, tmp_path):
+    kind = spark.read.parquet(f"{DATA}/telemetry_events.parquet")
+    rows = kind.orderBy(F.desc("received_at"), "id").limit(300).collect()
+    rows[-20:] = [Row(**(x.asDict() | {"event_id": rows[0]["event_id"]})) for x in rows[-20:]]  # resent days apart
+    kind = kind.schema
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/whole/telemetry_events.parquet")
+    for i in range(9):  # latest first
+        spark.createDataFrame(rows[i * 34 : (i + 1) * 34], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/parts/telemetry_events.parquet")
+    got = [sorted(map(str, streams.QUERIES["stream_dedup"](spark, f"{tmp_path}/{x}").collect())) for x in ("whole", "parts")]
+    assert got[0] == got[1] and len(got[1]) == len({x["event_id"] for x in rows})
+    once = E.run_once(E.sessions(E.read(spark, f"{tmp_path}/whole/telemetry_events*.parquet", kind)), str(tmp_path))
+    got = [sorted(map(str, x.collect())) for x in (once, *(streams.QUERIES["stream_sessions"](spark, f"{tmp_path}/{x}") for x in ("whole", "parts")))]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("a", "x"), ("z", "x"), ("a", ""), ("a", "y" * 300), (None, "x")], "event string, telemetry_id string")
     good, bad = E.validated(df, ["a"])
