@@ -1,12 +1,11 @@
 """Schemas that drift between files: every change reported, every file read into one table.
 
-Each file's schema is a tree of keys, every node with its type and a sketch of its content. Neighbouring files of a feed
-are compared by tree edit distance: a path on both sides costs nothing (or a retype); the rest is matched by least total
-cost, where a rename or move costs the dissimilarity of two subtrees and an addition or removal a constant, so unlike
+Each file's schema is a tree of keys, every node with its type and counts of its content. Neighbouring files of a feed
+are compared as trees: a path on both sides costs nothing (or a retype); the rest is matched by least total cost, where a rename or move costs the dissimilarity of two subtrees and an addition or removal a constant, so unlike
 fields are rather removed and added. The script's renames compile into a projection per file, applied to its rows.
 
-Occurrences and types cover every readable row. A node's content sketch holds at most SKETCH values, the ones of least
-row hash (a bottom-k sketch: mergeable, the same for any partitioning); it only tells whether two fields hold the same.
+Occurrences, types and content cover every readable row. A node's content is the count of each of its values (of arrays:
+of each item), whole values known by their hash, shape and number; counts add up, so any partitioning gives the same.
 
 Unreadable lines, lines that aren't objects, nulls and repeated lines change nothing. A file without a readable object
 is no file. Empty tables give no rows.
@@ -20,8 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import partial
-from statistics import median
+from functools import cached_property, lru_cache, partial
 
 import pyarrow as pa
 import xxhash
@@ -30,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TYPES = ("string", "number", "boolean", "array", "object")
-SKETCH = 48
+#: Counted values that a task holds at most before it hands them on.
+HELD = 200_000
 #: Cost of an addition plus a removal; a rename must be cheaper.
 ADD_AND_REMOVE = 0.46
-PROFILE = "feed string, stream string, file_no int, path string, " + ", ".join(f"n_{t} long" for t in TYPES) + ", sketch array<struct<h:long,v:string,at:double>>"
+PROFILE = "feed string, stream string, file_no int, path string, " + ", ".join(f"n_{t} long" for t in TYPES) + ", held array<struct<item:boolean,h:long,shape:long,digit:boolean,x:double,n:long>>, places array<struct<at:double,n:long>>"
 
 
 def type_name(value) -> str:
@@ -64,51 +63,102 @@ def _fields(value: dict, path: str = "") -> Iterator[tuple[str, object, float]]:
             yield from _fields(v, at)
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+@lru_cache(100_000)
+def _about(text: str) -> tuple[int, int, bool, float | None]:
+    """Hash, hash of the shape, whether it has a digit, and the number of a value."""
+    return _hash(text), _hash(_shape(text)), re.search(r"\d", text) is not None, _number(text)
+
+
+def _texts(value) -> Iterator[tuple[bool, str]]:
+    """What is counted of a value: itself, or an array's items; an object is its fields."""
+    if isinstance(value, list):
+        for i in value:
+            yield True, json.dumps(i, sort_keys=True) if not isinstance(i, dict) else "{" + ",".join(sorted(i)) + "}"
+    elif not isinstance(value, dict):
+        yield False, value if isinstance(value, str) else json.dumps(value)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    nodes: dict[tuple, list] = {}
+    nodes: dict[tuple, tuple[Counter, Counter, Counter]] = {}
 
     def flush() -> pa.RecordBatch:
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("v", pa.string()), ("at", pa.float64())]))
-        columns: list[list] = [[] for _ in range(10)]
-        for (feed, stream, file_no, path), (counts, sketch) in nodes.items():
-            row = [feed, stream, file_no, path, *(counts[t] for t in TYPES), [{"h": h, "v": v, "at": at} for h, v, at in sorted(sketch)[:SKETCH]]]
+        held = pa.list_(pa.struct([("item", pa.bool_()), ("h", pa.int64()), ("shape", pa.int64()), ("digit", pa.bool_()), ("x", pa.float64()), ("n", pa.int64())]))
+        places = pa.list_(pa.struct([("at", pa.float64()), ("n", pa.int64())]))
+        columns: list[list] = [[] for _ in range(11)]
+        for (feed, stream, file_no, path), (counts, values, at) in nodes.items():
+            content = [{"item": item, "h": h, "shape": shape, "digit": digit, "x": x, "n": n} for (item, (h, shape, digit, x)), n in values.items()]
+            row = [feed, stream, file_no, path, *(counts[t] for t in TYPES), content, [{"at": a, "n": n} for a, n in at.items()]]
             for c, v in zip(columns, row, strict=True):
                 c.append(v)
         nodes.clear()
-        types = [pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5, kind]
-        names = [f.split()[0] for f in PROFILE.split(", ")[:9]] + ["sketch"]
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5, held, places]
+        names = [f.split()[0] for f in PROFILE.split(", ")[:9]] + ["held", "places"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
+    size = 0
     for batch in batches:
-        for raw_id, feed, stream, file_no, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for feed, stream, file_no, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             record = parse(body)
             if record is None:
                 continue
             for path, value, at in _fields(record):
-                counts, sketch = nodes.setdefault((feed, stream, file_no, path), (Counter(), []))
+                counts, values, places = nodes.setdefault((feed, stream, file_no, path), (Counter(), Counter(), Counter()))
                 counts[type_name(value)] += 1
-                h = xxhash.xxh3_64_intdigest(f"{raw_id}\t{path}") >> 1
-                text = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
-                sketch.append((h, text[:200], at))
-                if len(sketch) > 4 * SKETCH:
-                    sketch.sort()
-                    del sketch[SKETCH:]
-        if len(nodes) > 20_000:
-            yield flush()
+                before = len(values)
+                for item, text in _texts(value):
+                    values[item, _about(text)] += 1
+                places[at] += 1
+                size += 1 + len(values) - before
+            if size > HELD:
+                yield flush()
+                size = 0
     yield flush()
 
 
 def profiles(raw: DataFrame) -> DataFrame:
-    """One row per (feed, file, path): how often each type occurs, and a sketch of the values."""
-    own = raw.select(F.col("raw_id").cast("long").alias("raw_id"), "feed", "stream", "file_no", "body")
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("sketch"))), 1, SKETCH)
+    """One row per (feed, file, path): how often each type, value and place among its siblings occurs."""
+    own = raw.select("feed", "stream", "file_no", "body")
     return (
         own.mapInArrow(_profile, PROFILE)
         .groupBy("feed", "file_no", "path")
-        .agg(F.max("stream").alias("stream"), *(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES), merged.alias("sketch"))
+        .agg(F.max("stream").alias("stream"), *(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES), *(F.flatten(F.collect_list(c)).alias(c) for c in ("held", "places")))
     )
 
 
+class Content:
+    """Counts of the values of a field, or of the items of its arrays."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.values, self.shapes, self.numbers = Counter(), Counter(), Counter()
+        self.digits: set[int] = set()
+        for r in rows:
+            self.values[r["h"]] += r["n"]
+            self.shapes[r["shape"]] += r["n"]
+            if r["x"] is not None:
+                self.numbers[r["x"]] += r["n"]
+            if r["digit"]:
+                self.digits.add(r["h"])
+        self.n = sum(self.values.values())
+        self.numeric = sum(self.numbers.values()) == self.n
+        self.few = len(self.values) <= 0.7 * self.n
+
+
+def _median(counts: Counter) -> float:
+    """The median of all counted values."""
+    n, seen, low = sum(counts.values()), 0, None
+    for x in sorted(counts):
+        seen += counts[x]
+        if low is None and 2 * seen >= n:
+            low = x
+        if 2 * seen > n:
+            return (low + x) / 2
+    return 0.0
+
+
 class Node:
     """A field of one file's schema."""
 
@@ -119,8 +169,15 @@ class Node:
         self.counts = {t: row[f"n_{t}"] for t in TYPES}
         self.n = sum(self.counts.values())
         self.type = max(TYPES, key=lambda t: self.counts[t])
-        self.values = [x["v"] for x in row["sketch"]]
-        self.at = median([x["at"] for x in row["sketch"]]) if row["sketch"] else 0.0
+        self.held = row["held"]
+        places: Counter = Counter()
+        for x in row["places"]:
+            places[x["at"]] += x["n"]
+        self.at = _median(places)
+
+    @cached_property
+    def content(self) -> Content:
+        return Content([x for x in self.held if x["item"] == (self.type == "array")])
 
 
 def _shape(text: str) -> str:
@@ -133,29 +190,30 @@ def _overlap(a: Counter, b: Counter) -> float:
     return sum(min(a[k] / n, b[k] / m) for k in a.keys() & b.keys())
 
 
-def _strings(a: list[str], b: list[str]) -> float:
-    same = _overlap(Counter(a), Counter(b))
-    few = len(set(a)) <= 0.7 * len(a) and len(set(b)) <= 0.7 * len(b)
-    union = set(a) | set(b)
-    shared = len(set(a) & set(b)) / max(1, min(len(set(a)), len(set(b))))
-    shape = _overlap(Counter(map(_shape, a)), Counter(map(_shape, b)))
-    if shared == 0 and few and len(union) <= 12 and not any(re.search(r"\d", x) for x in union):
+def _strings(a: Content, b: Content) -> float:
+    same = _overlap(a.values, b.values)
+    few = a.few and b.few
+    union = a.values.keys() | b.values.keys()
+    shared = len(a.values.keys() & b.values.keys()) / max(1, min(len(a.values), len(b.values)))
+    shape = _overlap(a.shapes, b.shapes)
+    digits = bool(a.digits or b.digits)
+    if shared == 0 and few and len(union) <= 12 and not digits:
         return 0.15 * shape  # two closed vocabularies without a word in common
-    return max(shape if not few or any(re.search(r"\d", x) for x in union) else 0.3 * shape, min(1.0, 0.35 + same * 0.9) if same else 0, shared * 0.9)
+    return max(shape if not few or digits else 0.3 * shape, min(1.0, 0.35 + same * 0.9) if same else 0, shared * 0.9)
 
 
-def _numbers(a: list[float], b: list[float]) -> float:
+def _numbers(a: Counter, b: Counter) -> float:
     """Closeness of level and of spread, on a log scale."""
-    level = [math.log10(1 + abs(median(x))) for x in (a, b)]
+    level = [math.log10(1 + abs(_median(x))) for x in (a, b)]
     spread = [math.log10(1 + max(x) - min(x)) for x in (a, b)]
-    flat = [len(set(x)) == 1 for x in (a, b)]
+    flat = [len(x) == 1 for x in (a, b)]
     gap = abs(level[0] - level[1]) + 0.5 * abs(spread[0] - spread[1]) + 0.4 * (flat[0] != flat[1])
     return max(0.0, 1 - gap)
 
 
 def _number(text: str) -> float | None:
     try:
-        return float(text)
+        return x if math.isfinite(x := float(text)) else None
     except ValueError:
         return None
 
@@ -172,28 +230,12 @@ def content(a: Node, b: Node, trees: tuple[dict, dict]) -> float:
         return sum(content(kids[0][k], kids[1][k], trees) for k in both) / len(kids[0].keys() | kids[1].keys())
     if a.type == "boolean":
         return 0.55
-    if a.type == "array":
-        items = []
-        for x in (a, b):
-            found = []
-            for v in x.values:
-                try:
-                    found += [json.dumps(i, sort_keys=True) if not isinstance(i, dict) else "{" + ",".join(sorted(i)) + "}" for i in json.loads(v)]
-                except ValueError:
-                    pass
-            items.append(found)
-        if not items[0] or not items[1]:
-            return 0.3
-        numbers = [[n for x in i if (n := _number(x)) is not None] for i in items]
-        if all(len(n) == len(i) for n, i in zip(numbers, items, strict=True)):
-            return _numbers(*numbers)
-        return _strings(*items)
-    if a.type == "number":
-        return _numbers(*([float(v) for v in x.values] for x in (a, b)))
-    numbers = [[n for v in x.values if (n := _number(v)) is not None] for x in (a, b)]
-    if all(len(n) == len(x.values) for n, x in zip(numbers, (a, b), strict=True)):
-        return _numbers(*numbers)
-    return _strings(a.values, b.values)
+    x, y = a.content, b.content
+    if not x.n or not y.n:
+        return 0.3
+    if a.type == "number" or x.numeric and y.numeric:
+        return _numbers(x.numbers, y.numbers) if x.numbers and y.numbers else 0.3
+    return _strings(x, y)
 
 
 def _words(name: str) -> set[str]:
@@ -283,7 +325,7 @@ def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def changes(raw: DataFrame) -> DataFrame:
     """Every difference of a file from the file before it in its feed, with the types on both sides."""
-    fields = F.struct("path", *(f"n_{t}" for t in TYPES), "sketch")
+    fields = F.struct("path", *(f"n_{t}" for t in TYPES), "held", "places")
     files = profiles(raw).groupBy("feed", "file_no").agg(F.max("stream").alias("stream"), F.collect_list(fields).alias("nodes"))
     before = F.lag("nodes").over(Window.partitionBy("feed").orderBy("file_no"))
     return (

@@ -37,6 +37,19 @@ def test_move_keeps_its_name(spark):
     assert found == [("renamed", "model", "box.model")]
 
 
+def renamed(spark, one, two):
+    return [(x["change_type"], x["field_path"], x["new_path"]) for x in D.changes(raw(spark, {1: one, 2: two})).collect()]
+
+
+def test_long_values_count_as_a_whole(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("ghijklmnop") for _ in range(9)) for _ in range(60)]
+    lines = lambda name: [{"id": f"s-{i:05d}", name: r.sample(words, 40)} for i in range(10)]
+    assert renamed(spark, lines("words"), lines("zq")) == [("renamed", "words", "zq")]
+    before, after = ([{"id": f"s-{i:05d}", name: "x" * 200 + tail[i % 2]} for i in range(10)] for name, tail in (("note", ("yes", "no")), ("zq", ("left", "up down"))))
+    assert sorted(renamed(spark, before, after)) == [("added", "zq", ""), ("removed", "note", "")]
+
+
 def test_one_table(spark):
     r = random.Random(2)
     one = [record(r) for _ in range(12)]
