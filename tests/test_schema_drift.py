@@ -50,6 +50,14 @@ def test_long_values_count_as_a_whole(spark):
     assert sorted(renamed(spark, before, after)) == [("added", "zq", ""), ("removed", "note", "")]
 
 
+def test_content_is_of_all_rows(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("ghijklmnop") for _ in range(9))
+    one, two = ([{"id": f"s-{i:05d}", name: words[i % 200]} for i in range(1200)] for name, words in (("mood", [word() for _ in range(200)]), ("zq", [word() for _ in range(200)])))
+    # Two vocabularies, each closed over all rows, without a word in common.
+    assert sorted(renamed(spark, one, two)) == [("added", "zq", ""), ("removed", "mood", "")]
+
+
 def test_one_table(spark):
     r = random.Random(2)
     one = [record(r) for _ in range(12)]
