@@ -266,29 +266,65 @@ def rename_cost(a: Node, b: Node, trees: tuple[dict, dict]) -> float:
     return 1 - (0.5 * like + 0.22 * place + 0.23 * name + 0.05 * often)
 
 
+def _hungarian(cost: list[list[float]]) -> list[int]:
+    """The column of each row at least total cost; at least as many columns as rows."""
+    n, m = len(cost), len(cost[0])
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j, way = i, 0, [0] * (m + 1)
+        least, used = [math.inf] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            used[j], k = True, row_of[j]
+            for c in range(1, m + 1):
+                if not used[c] and (x := cost[k - 1][c - 1] - u[k] - v[c]) < least[c]:
+                    least[c], way[c] = x, j
+            to = min((c for c in range(1, m + 1) if not used[c]), key=least.__getitem__)
+            step = least[to]
+            for c in range(m + 1):
+                if used[c]:
+                    u[row_of[c]] += step
+                    v[c] -= step
+                else:
+                    least[c] -= step
+            j = to
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    found = [0] * n
+    for c in range(1, m + 1):
+        if row_of[c]:
+            found[row_of[c] - 1] = c - 1
+    return found
+
+
 def _assign(costs: list[tuple[float, str, str]]) -> list[tuple[str, str]]:
-    """Pairs of least total cost: exact over the few candidates of a node's component, greedy beyond 12."""
+    """Pairs of least total cost, each path in one pair at most: exact, by connected component of the candidates.
+
+    A candidate's cost is relative to leaving both alone: below 0.
+    """
+    links: dict[tuple[int, str], list[tuple[int, str]]] = defaultdict(list)
+    for _, a, b in costs:
+        links[0, a].append((1, b))
+        links[1, b].append((0, a))
+    cost = {(a, b): c for c, a, b in costs}
     best: list[tuple[str, str]] = []
-    left = sorted(costs)
-    if len(left) > 12:
-        used: set[tuple[int, str]] = set()
-        for _, a, b in left:
-            if (0, a) not in used and (1, b) not in used:
-                best.append((a, b))
-                used |= {(0, a), (1, b)}
-        return best
-    top = [0.0, []]
-
-    def go(i: int, chosen: list, gain: float) -> None:
-        if gain > top[0]:
-            top[:] = gain, list(chosen)
-        for k in range(i, len(left)):
-            c, a, b = left[k]
-            if all(a != x and b != y for x, y in chosen):
-                go(k + 1, [*chosen, (a, b)], gain + ADD_AND_REMOVE - c)
-
-    go(0, [], 0.0)
-    return top[1]
+    seen: set[tuple[int, str]] = set()
+    for start in sorted(links):
+        if start in seen:
+            continue
+        seen.add(start)
+        part, open_ = [start], [start]
+        while open_:
+            for x in links[open_.pop()]:
+                if x not in seen:
+                    seen.add(x)
+                    part.append(x)
+                    open_.append(x)
+        old, new = (sorted(p for side, p in part if side == k) for k in (0, 1))
+        # Pairs that aren't candidates cost more than any choice among the others; a column per row leaves it alone.
+        table = [[cost.get((a, b), len(old) + 1.0) for b in new] + [0.0] * len(old) for a in old]
+        best += [(a, new[c]) for a, c in zip(old, _hungarian(table), strict=True) if c < len(new)]
+    return best
 
 
 def edit_script(before: dict[str, Node], after: dict[str, Node]) -> list[tuple[str, str, str]]:
@@ -298,14 +334,28 @@ def edit_script(before: dict[str, Node], after: dict[str, Node]) -> list[tuple[s
     shut = {p for _, p, _ in changes}
 
     def under(path: str, tops: set[str]) -> bool:
-        return any(path.startswith(t + ".") for t in tops)
+        return any(path[:i] in tops for i, c in enumerate(path) if c == ".")
 
-    # Of a subtree that came or went, only the root is an edit of its own; its nodes may still have moved from elsewhere.
-    old_roots = {p for p in gone if not under(p, gone) and not under(p, shut)}
-    new_roots = {p for p in new if not under(p, new) and not under(p, shut)}
+    # Of a subtree that came or went, only the root is an edit of its own; its nodes may still have moved out of it, or
+    # into it from elsewhere: then the other end's edit is saved, but not one for them.
+    gone, new = ({p for p in side if not under(p, shut)} for side in (gone, new))
+    old_roots, new_roots = ({p for p in side if not under(p, side)} for side in (gone, new))
     trees = (before, after)
-    costs = [(c, a, b) for a in old_roots for b in new_roots if (c := rename_cost(before[a], after[b], trees)) < ADD_AND_REMOVE]
-    pairs = _assign(costs)
+    costs = []
+    for a in gone:
+        for b in new:
+            roots = (a in old_roots) + (b in new_roots)
+            if roots == 2 or roots == 1 and names_alike(before[a].name, after[b].name) >= 0.99:
+                if (c := rename_cost(before[a], after[b], trees) - ADD_AND_REMOVE * roots / 2) < 0:
+                    costs.append((c, a, b))
+    while True:
+        pairs = _assign(costs)
+        # What lies in a renamed object went with it.
+        tops = [{p[k] for p in pairs} for k in (0, 1)]
+        kept = [x for x in costs if not ((x[1], x[2]) in pairs and (under(x[1], tops[0]) or under(x[2], tops[1])))]
+        if len(kept) == len(costs):
+            break
+        costs = kept
     changes += [("renamed", a, b) for a, b in pairs]
     changes += [("removed", a, "") for a in old_roots - {a for a, _ in pairs}] + [("added", b, "") for b in new_roots - {b for _, b in pairs}]
     # A renamed object's own fields changed under it: not reported.

@@ -1,4 +1,5 @@
 import datetime
+import itertools
 import json
 import random
 
@@ -68,6 +69,25 @@ def test_one_table(spark):
     assert {"box__w", "version"} <= set(t.columns) and not {"model_name", "size__value"} & set(t.columns)
 
 
+def test_assignment_against_brute_force():
+    r = random.Random(9)
+    pairs = [("a1", "b1", -0.36), ("a1", "b2", -0.34), ("a2", "b1", -0.34)]
+    assert sorted(D._assign([(c, f"{i:02d}{a}", f"{i:02d}{b}") for i in range(13) for a, b, c in pairs])) == sorted((f"{i:02d}{a}", f"{i:02d}{b}") for i in range(13) for a, b in (("a1", "b2"), ("a2", "b1")))
+    for _ in range(40):
+        cost = {(a, b): -r.random() for a in "abcd" for b in "wxyz" if r.random() < 0.6}
+        total = min(sum(cost.get(p, 0) for p in zip("abcd", order, strict=True)) for order in itertools.permutations("wxyz"))
+        found = D._assign([(c, *p) for p, c in cost.items()])
+        assert len({a for a, _ in found}) == len({b for _, b in found}) == len(found)
+        assert abs(sum(cost[p] for p in found) - total) < 1e-9
+
+
+def test_move_into_a_new_object(spark):
+    r = random.Random(4)
+    one = [record(r) for _ in range(10)]
+    two = [{k: v for k, v in x.items() if k != "model"} | {"fresh": {"model": x["model"], "since": 1}} for x in one]
+    assert sorted(renamed(spark, one, two)) == [("added", "fresh", ""), ("renamed", "model", "fresh.model")]
+
+
 def test_empty(spark):
     none = raw(spark, {1: [record(random.Random(1))]}).limit(0)
     assert D.changes(none).count() == 0
