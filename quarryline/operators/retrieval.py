@@ -181,3 +181,41 @@ def fuzzy(df: DataFrame, key: str, text: str, query: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "score"])
 
     return own.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(score, "key long, score long")
+
+
+def batch_scores(df: DataFrame, key: str, vector: str, queries: list[tuple[int, list[float]]], k: int | None = None, least: float | None = None, norm: bool = True) -> DataFrame:
+    """query, key, score (cosine, or inner product if not `norm`) of all queries against all rows, by blocks of matrix products.
+
+    With k, the best k of each query, ties by key: each block of rows hands on its own best k at most. With least, scores
+    from that on. Vectors of another length and zero norms score 0.
+    """
+    width = len(queries[0][1]) if queries else 0
+    ids = [q for q, _ in queries]
+    q = np.array([v for _, v in queries], float).reshape(len(queries), width)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    side = unit(q) if norm else q
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = b["key"].to_numpy()
+            rows = np.zeros((len(b), width))
+            for i, v in enumerate(b["vector"]):
+                if v is not None and len(v) == width:
+                    rows[i] = v
+            all_ = np.round(side @ (unit(rows) if norm else rows).T, 9)
+            for j, name in enumerate(ids):
+                take = np.lexsort((keys, -all_[j]))[:k] if k is not None else np.flatnonzero(all_[j] >= least) if least is not None else np.arange(len(b))
+                yield pd.DataFrame({"query": name, "key": keys[take], "score": all_[j][take]})
+
+    out = df.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInPandas(score, "query long, key long, score double")
+    return out if k is None else best_of_each(out, k)
+
+
+def best_of_each(scores: DataFrame, k: int) -> DataFrame:
+    """query, key, score, rank of the best k of each query, ties by key."""
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return scores.withColumn("rank", nth).where(F.col("rank") <= k)

@@ -131,6 +131,47 @@ def retrieval_quality(spark, d):
     return R.quality(results, v.where(F.col("label") == label).select(F.lit(0).alias("query"), F.col("vec_id").alias("key")), 10)
 
 
+def _queries(spark, d):
+    """Every row whose id is divisible by 20 is a query."""
+    return [(r["vec_id"], r["embedding"]) for r in vectors(spark, d).where("vec_id % 20 = 0").select("vec_id", "embedding").collect()]
+
+
+_QS = "(SELECT vec_id AS query, label AS own, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
+_COS, _DOT = (f"round(list_{f}(embedding::DOUBLE[], q::DOUBLE[]), 9)" for f in ("cosine_similarity", "inner_product"))
+
+
+@query(f"SELECT query, vec_id, round({_COS}, 5) AS score FROM embeddings, {_QS} WHERE {_COS} >= 0.1")
+def dense_search_all(spark, d):
+    found = R.batch_scores(vectors(spark, d), "vec_id", "embedding", _queries(spark, d), least=0.1)
+    return found.select("query", F.col("key").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
+@query(f"SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY {_DOT} DESC, vec_id) AS rank FROM embeddings, {_QS} QUALIFY rank <= 10")
+def dense_top_k_all(spark, d):
+    return R.batch_scores(vectors(spark, d), "vec_id", "embedding", _queries(spark, d), k=10, norm=False).select("query", F.col("key").alias("vec_id"), "rank")
+
+
+@query(f"""WITH l AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 6) AS score FROM ({_BM25})) QUALIFY rank <= 50),
+v AS (SELECT query, vec_id AS key, row_number() OVER (PARTITION BY query ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings, {_QS} QUALIFY rank <= 50)
+SELECT query, key, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query, key, rank FROM l, (SELECT query FROM {_QS}) UNION ALL SELECT * FROM v) GROUP BY 1, 2""")
+def hybrid_search_all(spark, d):
+    lexical = R.ranked(_bm25(spark, d), "score", "doc_id", 50).select(F.col("doc_id").alias("key"), "rank")
+    dense = R.batch_scores(vectors(spark, d), "vec_id", "embedding", _queries(spark, d), k=50).select("query", "key", "rank")
+    every = vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"))
+    both = every.crossJoin(F.broadcast(lexical)).unionByName(dense)
+    return both.groupBy("query", "key").agg(F.round(F.sum(1.0 / (R.RRF_K + F.col("rank"))), 9).alias("score"))
+
+
+@query(f"""WITH r AS (SELECT query, own, label, row_number() OVER (PARTITION BY query ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings, {_QS} QUALIFY rank <= 10),
+w AS (SELECT label AS own, count(*) AS wanted FROM embeddings GROUP BY 1), h AS (SELECT query, own, count(*) FILTER (label = own) AS hits, min(rank) FILTER (label = own) AS first FROM r GROUP BY ALL)
+SELECT avg(hits / wanted) AS recall, avg(hits / 10) AS precision, avg(coalesce(1 / first, 0)) AS mrr, count(*) AS queries FROM h JOIN w USING (own)""")
+def retrieval_quality_all(spark, d):
+    v = vectors(spark, d)
+    results = R.batch_scores(v, "vec_id", "embedding", _queries(spark, d), k=10)
+    own = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label")
+    return R.quality(results, own.join(v.select("label", F.col("vec_id").alias("key")), "label").select("query", "key"), 10)
+
+
 def fuzzy_search(spark, d):
     return R.fuzzy(table(spark, d, "part"), "p_partkey", "p_name", "smal wigdet")
 
