@@ -3,7 +3,8 @@
 A bitmap of m bits is kept as its non-empty 64-bit words, so small sets stay small and a union is a bit_or per word.
 m is a power of two, the least whose standard error at the largest possible set (the rows read) is within the target:
 sqrt(m (e^t - t - 1)) / n at n members, t = n / m; smaller sets err less. The estimate is -m ln(empty bits / m).
-Partials of days, files or groups with the same m merge exactly, in any order.
+Partials of days, files or groups merge exactly, in any order; each carries its m, and of different ones the larger are
+folded to the smallest (a power of two divides the next, so a bit's place is its place modulo the smaller m).
 
 Null and blank identifiers are no members; null keys are a value of their own, '(unknown)'. An empty table gives no
 rows. A bitmap without an empty bit is counted as if it had one (and marked `saturated`).
@@ -40,7 +41,16 @@ def partial_bitmaps(df: DataFrame, keys: list[str], member: Column, m: int) -> D
     return own.groupBy(*keys, F.expr("at div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
+def fold_bitmaps(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """Partials with their bitmap_bits, runs of any size, in the smallest bitmap among them."""
+    least = partials.agg(F.min("bitmap_bits").alias("least"))
+    own = partials.join(F.broadcast(least)).withColumn("word", F.expr("word % (least div 64)"))
+    return own.groupBy(*keys, "word", F.col("least").alias("bitmap_bits")).agg(F.bit_or("bits").alias("bits"))
+
+
 def union_bitmaps(partials: DataFrame, keys: list[str]) -> DataFrame:
+    if "bitmap_bits" in partials.columns:
+        return fold_bitmaps(partials, keys)
     return partials.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
 
 
@@ -105,4 +115,4 @@ def distinct_members(telemetry: DataFrame, web: DataFrame, target: float = 0.01)
     m = bitmap_bits(most, target)
     partials = partial_bitmaps(active_members(telemetry, web), ["kind", "day", "version", "os"], F.col("member"), m)
     keys = ["day", "version", "os"]
-    return partials, estimates(cube_bitmaps(partials, ["kind"], keys), ["kind", *keys], m)
+    return partials.withColumn("bitmap_bits", F.lit(m).cast("long")), estimates(cube_bitmaps(partials, ["kind"], keys), ["kind", *keys], m)

@@ -75,6 +75,19 @@ def test_distinct_estimates_and_merging(spark):
     assert distinct.estimates(distinct.cube_bitmaps(parts.limit(0), [], ["k"]), ["k"], m).count() == 0
 
 
+def test_partials_of_runs_of_different_size(spark):
+    ids = spark.range(3000).selectExpr("'a' AS k", "concat('id', id) AS m")
+    parts = lambda df, m: distinct.partial_bitmaps(df, ["k"], df["m"], m).selectExpr("*", f"{m}L AS bitmap_bits")
+    both = distinct.union_bitmaps(parts(ids.limit(2000), 1 << 14).unionByName(parts(ids, 1 << 16)), ["k"])
+    assert sorted(map(tuple, both.select("k", "word", "bits", "bitmap_bits").collect())) == sorted(map(tuple, parts(ids, 1 << 14).select("k", "word", "bits", "bitmap_bits").collect()))
+
+
+def test_daily_partials_carry_their_size(spark):
+    most = sum(spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("telemetry_events", "web_details"))
+    found = queries.QUERIES["p7_daily_partials"](spark, DATA).select("bitmap_bits").distinct().collect()
+    assert [r[0] for r in found] == [distinct.bitmap_bits(most, 0.01)]
+
+
 def documents(spark, texts):
     rows = [(i, t, s) for i, (t, s) in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS n_tokens", "2 AS pack", "3 AS slice")
