@@ -1,10 +1,15 @@
 """Personal data in free text: found by a semi-Markov conditional random field and replaced by typed placeholders.
 
-Bounded candidate segments (no longer than their pattern allows) are proposed for each type: addresses of mail, phone
-and identity numbers, street addresses, personal names. Features of the whole segment (its shape, its parts, what stands
-before and after it) score it; text outside segments scores nothing. Dynamic programming over segment ends picks the
-boundaries and types of greatest total score jointly. Weights are trained by `train_pii` on generated sentences and
-stored with the package.
+A labelling of a line is a chain of typed segments with plain text between them; its probability is proportional to
+exp(sum of segment scores + sum of transition scores). Segments are bounded entities, as the method asks: a name has at
+most 6 words (lower-case ones at least 2, all uncommon, or a word before them that
+announces names), a phone
+number 7 to 15 digits in 24 characters, an identity number 5 digits or more in 24 characters, an address the parts its
+patterns name. Features of the whole segment (its shape, its words, what stands before and after it) score it; a
+transition scores the types of two segments at most `NEAR` characters apart with the text between them. `forward` gives
+the partition function and `backward` the marginals that training needs; `decode` finds the labelling of greatest
+probability by the same dynamic program over segment ends. Weights are trained by `train_pii` and stored with the
+package.
 
 Null and empty texts have no mentions; texts are decoded whole, line by line (no pattern spans a line break).
 """
@@ -13,9 +18,10 @@ from __future__ import annotations
 
 import gzip
 import json
+import math
 import os
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +32,8 @@ from pyspark.sql import functions as F
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii.json.gz")
 TYPES = ("email", "phone", "identity_number", "street_address", "person_name")
 MAX_UNITS = 6
+#: Two segments at most this many characters apart have a transition of their own.
+NEAR = 6
 
 TOKEN = re.compile(r"[^\W\d_]+(?:[-'’‑][^\W\d_]+)*|\d+|[^\w\s]|_")
 #: Units a name is made of: words (may hold hyphens and apostrophes).
@@ -38,13 +46,13 @@ EMAIL = re.compile(rf"[\w%+'-]+(?:\.[\w%+'-]+)*{AT}[\w-]+(?:{DOT}[\w-]+)*{DOT}[^
 PHONE = re.compile(r"(?<![\w.:/-])(?:\+|\()?\d+(?:\)? ?[ ./\xa0-]?\(?\d+)+(?![\w])")
 IDENTITY = re.compile(r"(?<![\w.-])[A-Z]{0,8}\d[\dA-Z]*(?:[ .\xa0/-][\dA-Z]{1,12}){0,5}(?![\w])|(?<!\w)[A-Z]{2}(?: ?\d\d){3} ?[A-Z](?!\w)")
 
-_W = r"[A-ZÀ-ÞŁŚŻŹĆĄĘŃÓ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+_W = r"[A-ZÀ-ÞŁŚŻŹĆĄĘŃÓА-Я][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 _NO = r"\d{1,5} ?[A-Z]?(?:\b bis| ter)?"
 #: Words that make a street (fixed values).
 _SUFFIX = r"(?:St|Street|Rd|Road|Ave|Avenue|Blvd|Boulevard|Ln|Lane|Ct|Court|Close|Way|Dr|Drive|Pl|Place|Sq|Square|Terrace|Crescent|Row|Hill|Gardens|Grove|Walk|Mews|Parade|Pkwy|Parkway|Hwy|Highway|Path|Park)\b\.?"
 _FR = r"(?:rue|avenue|av\.|boulevard|bd|impasse|allée|allee|place|chemin|quai|route|passage|cours|square|sentier)"
-_ES = r"(?:C/|Calle|C\.|Avda\.?|Av\.|Avenida|Plaza|Pza\.|Paseo|Camino|Ronda|Carrera|Rua|Via|Viale|Largo|ul\.|ulica)"
-_DE = r"(?:[A-ZÄÖÜ][^\W\d_]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|hof|steig|pfad|markt|graben|hain|berg|feld)|(?:Am|An der|An den|Im|In der|Auf der|Auf dem|Zum|Zur|Unter den|Hinter der) (?:[A-ZÄÖÜ][^\W\d_]*(?:[- ][A-ZÄÖÜ][^\W\d_]*)?))"
+_ES = r"(?:C/|Calle|C\.|Avda\.?|Av\.|Avenida|Plaza|Pza\.|Paseo|Camino|Ronda|Carrera|Rua|Via|Viale|Corso|Piazza|Largo|ul\.|ulica|ул\.|улица|проспект|пер\.)"
+_DE = r"(?:[A-ZÄÖÜ][^\W\d_]*(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|hof|steig|pfad|markt|graben|hain|berg|feld|straat|laan|gracht|plein|gatan|vägen)|(?:Am|An der|An den|Im|In der|Auf der|Auf dem|Zum|Zur|Unter den|Hinter der) (?:[A-ZÄÖÜ][^\W\d_]*(?:[- ][A-ZÄÖÜ][^\W\d_]*)?))"
 CORES = {
     "number first": re.compile(rf"(?<![\w.-]){_NO},? (?:(?:{_W}|St\.) ){{1,3}}{_SUFFIX}"),
     "french": re.compile(rf"(?<![\w.-]){_NO},? {_FR} (?:de la |de l['’]|de |du |des |d['’])?{_W}(?:[ -](?:(?:de|du|des|la) )?{_W}){{0,2}}"),
@@ -53,7 +61,7 @@ CORES = {
 }
 UNITS = re.compile(r",? (?:Apt|Unit|Flat|Suite|Ste|Apartment|Room|Whg)\.? ?#?\w{1,5}|, ?(?:bajo|\d{1,2}º(?: ?[A-Z]\b)?|\d{1,2}[ºª]? [A-Z]\b|esc\. \d)|,? #\d{1,5}")
 POSTCODE = re.compile(rf",? \d{{4,5}} {_W}(?: {_W})?|,? [A-Z]{{1,2}}\d{{1,2}}[A-Z]? \d[A-Z]{{2}}")
-TOWN = re.compile(rf", {_W}(?: {_W})?")
+TOWN = re.compile(rf", {_W}(?: {_W})?(?:, [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?)?")
 
 
 def shape(text: str) -> str:
@@ -97,21 +105,28 @@ class Line:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], lower_contexts: frozenset[str]) -> None:
-        self.weights, self.lower_contexts = weights, lower_contexts
+    """Weights of the features, the common words of ordinary text, and words that announce names."""
+
+    def __init__(self, weights: dict[str, float], words: frozenset[str], announcing: frozenset[str]) -> None:
+        self.weights, self.words, self.announcing = weights, words, announcing
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
         with gzip.open(path, "rt") as f:
             data = json.load(f)
-        return cls(data["weights"], frozenset(data["lower_contexts"]))
+        return cls(data["weights"], frozenset(data["words"]), frozenset(data["announcing"]))
 
     def score(self, features: list[str]) -> float:
         w = self.weights
         return sum(w[f] for f in features if f in w)
 
 
-def _name_candidates(line: Line, lower_contexts: frozenset[str]) -> Iterator[tuple[int, int]]:
+def known(word: str, words: frozenset[str]) -> bool:
+    """A common word, or one with an s."""
+    return word in words or word.endswith("s") and word[:-1] in words
+
+
+def _name_candidates(line: Line, words: frozenset[str], announcing: frozenset[str]) -> Iterator[tuple[int, int]]:
     text = line.text
     units = []
     for m in UNIT.finditer(text):
@@ -125,9 +140,10 @@ def _name_candidates(line: Line, lower_contexts: frozenset[str]) -> Iterator[tup
             continue
         # Lower case like the first unit that is no particle.
         lower = not next((w for _, _, w in units[i : i + 4] if w not in PARTICLES), word)[0].isupper()
-        if lower and line.before(a)[0] not in lower_contexts:
+        announced = lower and line.before(a)[3] in announcing
+        if lower and known(word, words) and not announced:
             continue
-        end = None
+        end, size, rare = None, 0, True
         for j in range(i, min(len(units), i + MAX_UNITS)):
             s, e, w = units[j]
             if j > i:
@@ -141,12 +157,17 @@ def _name_candidates(line: Line, lower_contexts: frozenset[str]) -> Iterator[tup
             end = e
             if w in PARTICLES and j + 1 < len(units):
                 continue
+            if lower and w[0].isupper():
+                break
+            size, rare = size + 1, rare and not known(w, words)
+            if lower and (size < 2 or not rare and not announced):
+                continue
             if e < len(text) and (text[e] in "@_" or text[e].isdigit() or text[e] == "\\" and text[e + 1 : e + 2] not in ('"', "'", "n")):
                 continue
             yield a, e
 
 
-def candidates(line: Line, lower_contexts: frozenset[str]) -> list[tuple[int, int, str, str]]:
+def candidates(line: Line, words: frozenset[str], announcing: frozenset[str]) -> list[tuple[int, int, str, str]]:
     """(start, end, type, detail) of all segments a type's patterns allow."""
     text, found = line.text, set()
     if "@" in text or "＠" in text or " AT " in text or "at)" in text.lower() or "at]" in text.lower():
@@ -179,7 +200,7 @@ def candidates(line: Line, lower_contexts: frozenset[str]) -> list[tuple[int, in
                                 ends.append((t.start() + cut, had + name))
                 for e, had in ends:
                     found.add((m.start(), e, "street_address", f"{kind}|{had}"))
-    for a, e in _name_candidates(line, lower_contexts):
+    for a, e in _name_candidates(line, words, announcing):
         found.add((a, e, "person_name", ""))
     return sorted(found)
 
@@ -197,25 +218,29 @@ def _case(word: str) -> str:
     return "l"
 
 
-def features(line: Line, start: int, end: int, kind: str, detail: str) -> list[str]:
+def features(line: Line, start: int, end: int, kind: str, detail: str, words: frozenset[str]) -> list[str]:
     """Names of the features of a whole segment."""
     text = line.text[start:end]
-    l1, l2, l3, lw = line.before(start)
+    l1, l2, _, lw = line.before(start)
     r1, r2 = line.after(end)
-    tight_left = "" if start and not line.text[start - 1].isspace() else " "
-    tight_right = "" if end < len(line.text) and not line.text[end].isspace() else " "
+    tight_left = line.text[start - 1] if start and not line.text[start - 1].isspace() else " "
+    tight_right = line.text[end] if end < len(line.text) and not line.text[end].isspace() else " "
     t = kind[0] + ":"
-    out = [t, f"{t}l1={l1}", f"{t}l12={l2} {l1}", f"{t}lw={lw}", f"{t}r1={r1}{tight_right}", f"{t}r12={r1} {r2}", f"{t}lr={l1}|{r1}", f"{t}t={tight_left}|{tight_right}", f"{t}l123={l3} {l2} {l1}"]
+    out = [t, f"{t}l1={l1}", f"{t}l12={l2} {l1}", f"{t}lw={lw}", f"{t}r1={r1}", f"{t}r12={r1} {r2}", f"{t}lr={l1}|{r1}", f"{t}t={_side(tight_left)}{_side(tight_right)}"]
     if kind == "person_name":
-        words = text.replace("\xa0", " ").replace(",", " ,").split()
-        cases = "".join("," if w == "," else _case(w) for w in words)
-        real = [w for w in words if w != ","]
-        n = len([w for w in real if w not in PARTICLES])
-        out += [f"{t}c={cases}", f"{t}n={min(n, 4)}", f"{t}c1={cases[:1]}|lw={lw}", f"{t}n|lw={min(n, 4)}|{lw}", f"{t}n|r1={min(n, 4)}|{r1}", f"{t}c|l1={cases}|{l1}"]
+        parts = text.replace("\xa0", " ").replace(",", " ,").split()
+        cases = "".join("," if w == "," else _case(w) for w in parts)
+        real = [w.lower() for w in parts if w != ","]
+        sorts = "".join("," if w == "," else "p" if w in PARTICLES else "i" if len(w.rstrip(".")) == 1 else "k" if known(w.lower(), words) else "u" for w in parts)
+        opens = "^" if l1 in "^.?!:>" else "m"
+        nature = "$" if r1 == "$" else "." if not r1[0].isalpha() else "k" if known(r1, words) else "u"
+        out += [
+            f"{t}c={cases}", f"{t}k={sorts}", f"{t}ck={cases}|{sorts}", f"{t}k|o={sorts}|{opens}", f"{t}k|l1={sorts}|{l1}", f"{t}k|lw={sorts}|{lw}", f"{t}k|r1={sorts}|{r1}",
+            f"{t}k|r={sorts}|{opens}|{nature}", f"{t}c|t={cases}|{_side(tight_left)}{_side(tight_right)}", f"{t}re={r1[-2:]}|{opens}", f"{t}first={real[0]}", f"{t}last={real[-1]}",
+            f"{t}n|r1={len(real)}|{r1}", f"{t}script={'c' if any('Ѐ' <= c <= 'ӿ' for c in text) else 'l'}",
+        ]
         for w in real:
-            low = w.lower()
-            out += [f"{t}w={low}", f"{t}s3={low[-3:]}", f"{t}s4={low[-4:]}"]
-        out += [f"{t}first={real[0].lower()}", f"{t}last={real[-1].lower()}", f"{t}start={'^' if start == 0 else ''}{cases[:1]}", f"{t}script={'c' if any('Ѐ' <= c <= 'ӿ' for c in text) else 'l'}"]
+            out += [f"{t}w={w}", f"{t}s3={w[-3:]}"]
     elif kind == "street_address":
         core, _, tail = detail.partition("|")
         last = text.rstrip(".").rsplit(" ", 1)[-1].lower()
@@ -226,40 +251,94 @@ def features(line: Line, start: int, end: int, kind: str, detail: str) -> list[s
     else:
         s = shape(text)
         digits = sum(c.isdigit() for c in text)
-        out += [f"{t}m={s}", f"{t}m1={_short(s)}", f"{t}m|l1={s}|{l1}", f"{t}m1|lw={_short(s)}|{lw}", f"{t}d={digits}", f"{t}m|r1={s}|{r1}", f"{t}h={text[0] if text[0] in '+(0' else '9'}", f"{t}lw|r1={lw}|{r1}"]
-        if kind == "phone":
-            out.append(f"{t}555={'555' in text}")
+        head = text[0] if text[0] in "+(0" else "9"
+        out += [f"{t}m={s}", f"{t}m1={_short(s)}", f"{t}m|l1={s}|{l1}", f"{t}m1|lw={_short(s)}|{lw}", f"{t}d={digits}", f"{t}m|r1={s}|{r1}", f"{t}h={head}", f"{t}hm={head}{_short(s)}", f"{t}m1|t={_short(s)}|{_side(tight_left)}{_side(tight_right)}", f"{t}hd|l={head}{digits}|{'w' if l1[0].isalpha() else l1}"]
+        i = bisect_right(line.ends, start)
+        out += [f"{t}b={w}" for w in sorted({w.lower() for _, _, w in line.tokens[max(0, i - 5) : i] if w[0].isalpha()})]
     return out
 
 
-def decode(line: Line, model: Model) -> list[tuple[int, int, str]]:
-    """The labelled segments of greatest total score: best[e] over segment ends, as in a semi-Markov Viterbi."""
-    scored = []
-    for a, b, kind, detail in candidates(line, model.lower_contexts):
-        s = model.score(features(line, a, b, kind, detail))
-        if s > 0:
-            scored.append((b, a, kind, s))
-    return best_segments(scored)
-
-
-def best_segments(scored: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
-    scored.sort()
-    ends = [x[0] for x in scored]
-    best: list[tuple[float, int]] = [(0.0, -1)]  # after the first k segments: score, and the segment taken (or -1: as before)
-    for k, (_, a, _, s) in enumerate(scored):
-        with_it = best[bisect_right(ends, a, 0, k)][0] + s
-        best.append((with_it, k) if with_it > best[k][0] else (best[k][0], -1))
-    out, k = [], len(scored)
-    while k:
-        if best[k][1] < 0:
-            k -= 1
-        else:
-            b, a, kind, _ = scored[k - 1]
-            out.append((a, b, kind))
-            k = bisect_right(ends, a, 0, k - 1)
+def _side(c: str) -> str:
+    return "a" if c.isalnum() else c
+
+
+class Lattice:
+    """Candidate segments of a line, ordered by their ends, and the transitions between near ones."""
+
+    def __init__(self, line: Line, words: frozenset[str], announcing: frozenset[str]) -> None:
+        found = sorted(candidates(line, words, announcing), key=lambda c: (c[1], c[0]))
+        self.segments = [(a, b, kind) for a, b, kind, _ in found]
+        self.features = [features(line, *c, words) for c in found]
+        ends = [b for _, b, _ in self.segments]
+        #: Of each segment: how many segments end too far before it for a transition, and its near predecessors.
+        self.far = [bisect_left(ends, a - NEAR, 0, k) for k, (a, _, _) in enumerate(self.segments)]
+        self.near = [[(j, self._transition(line.text, j, k)) for j in range(self.far[k], bisect_right(ends, self.segments[k][0], 0, k))] for k in range(len(found))]
+
+    def _transition(self, text: str, j: int, k: int) -> list[str]:
+        (_, b, one), (a, _, other) = self.segments[j], self.segments[k]
+        pair = f"T:{one[0]}{other[0]}"
+        return [pair, f"{pair}|{re.sub('[0-9]', '0', text[b:a]).lower()}"]
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top + math.log(sum(math.exp(v - top) for v in values))
+
+
+def forward(lattice: Lattice, score: list[float], step: list[list[float]]) -> tuple[list[float], list[float]]:
+    """Log sums over the labellings that end with each segment, and over those of the first k segments (the last: log Z)."""
+    ending: list[float] = []
+    upto = [0.0]
+    for k, near in enumerate(lattice.near):
+        ending.append(score[k] + _log_sum([upto[lattice.far[k]], *(ending[j] + s for (j, _), s in zip(near, step[k], strict=True))]))
+        upto.append(_log_sum([upto[k], ending[k]]))
+    return ending, upto
+
+
+def backward(lattice: Lattice, score: list[float], step: list[list[float]], ending: list[float], upto: list[float]) -> tuple[list[float], list[list[float]]]:
+    """Probability of each segment and of each pair of near neighbours: the derivatives of log Z, from the last back."""
+    n = len(ending)
+    of_upto, of_ending = [0.0] * n + [1.0], [0.0] * n
+    pairs = [[0.0] * len(near) for near in lattice.near]
+    for k in range(n - 1, -1, -1):
+        of_upto[k] += of_upto[k + 1] * math.exp(upto[k] - upto[k + 1])
+        of_ending[k] += of_upto[k + 1] * math.exp(ending[k] - upto[k + 1])
+        inner = ending[k] - score[k]
+        of_upto[lattice.far[k]] += of_ending[k] * math.exp(upto[lattice.far[k]] - inner)
+        for i, (j, _) in enumerate(lattice.near[k]):
+            pairs[k][i] = of_ending[k] * math.exp(ending[j] + step[k][i] - inner)
+            of_ending[j] += pairs[k][i]
+    return of_ending, pairs
+
+
+def best_segments(lattice: Lattice, score: list[float], step: list[list[float]]) -> list[int]:
+    """The segments of the labelling of greatest score (Viterbi over segment ends)."""
+    ending: list[tuple[float, int, int]] = []  # score, and the segment before (-1: that of upto[far])
+    upto: list[tuple[float, int]] = [(0.0, -1)]  # score, and the last segment (-1: none)
+    for k, near in enumerate(lattice.near):
+        value, last = upto[lattice.far[k]]
+        for (j, _), s in zip(near, step[k], strict=True):
+            if ending[j][0] + s > value:
+                value, last = ending[j][0] + s, j
+        ending.append((value + score[k], last, k))
+        upto.append((ending[k][0], k) if ending[k][0] > upto[k][0] else upto[k])
+    out, k = [], upto[-1][1]
+    while k >= 0:
+        out.append(k)
+        k = ending[k][1]
     return out[::-1]
 
 
+def decode(line: Line, model: Model) -> list[tuple[int, int, str]]:
+    """The labelling of greatest probability."""
+    lattice = Lattice(line, model.words, model.announcing)
+    if not lattice.segments:
+        return []
+    score = [model.score(f) for f in lattice.features]
+    step = [[model.score(f) for _, f in near] for near in lattice.near]
+    return [lattice.segments[k] for k in best_segments(lattice, score, step)]
+
+
 _model: list[Model] = []
 
 

@@ -1,11 +1,13 @@
-"""Garbled text by exact round trips, personal data by held-out accuracy and exact places."""
+"""Garbled text by exact round trips, personal data by accuracy on texts of another hand and exact places."""
 
+import math
 import random
 
 import pytest
 
 from quarryline.llm import mojibake as M
 from quarryline.llm import pii, train_pii
+from tests.llm.plain_texts import marked
 
 TEXTS = [
     ("Die Größe wäre für uns natürlich größer, aber die Prüfung schlägt fehl. Könnten wir später prüfen?", ["utf_8>cp1252", "utf_8>latin_1", "utf_8>cp437", "utf_8>mac_roman", "utf_8>cp1252 twice", "utf_8>cp1251", "utf_8>cp850", "cp1252>mac_roman", "cp1252>cp1251", "cp437>cp1252"]),
@@ -49,14 +51,45 @@ def test_damaged_frame(spark):
     assert M.damaged(df.limit(0)).count() == 0
 
 
-def test_held_out_accuracy():
+def test_accuracy_on_sentences_of_another_hand():
+    figures = train_pii.evaluate(pii.model(), marked())
+    for kind, (precision, recall, _) in figures.items():
+        assert precision >= (0.85 if kind == "person_name" else 0.99) and recall >= (0.8 if kind == "person_name" else 0.99), (kind, precision, recall)
+
+
+def test_accuracy_on_generated_sentences():
     train_pii.r.seed(20260)
-    hit = said = true = 0
-    for _ in range(600):
-        text, gold = train_pii.sentence()
-        guess = set(pii.decode(pii.Line(text), pii.model()))
-        hit, said, true = hit + len(guess & set(gold)), said + len(guess), true + len(gold)
-    assert hit / said > 0.97 and hit / true > 0.97
+    plain = ["All clear here, nothing to report.", "Returns the number of bytes written so far."]
+    for kind, (precision, recall, _) in train_pii.evaluate(pii.model(), [train_pii.sentence(plain) for _ in range(800)]).items():
+        assert precision > 0.96 and recall > 0.94, (kind, precision, recall)
+
+
+def test_forward_and_backward_against_all_labellings():
+    r = random.Random(3)
+    line = pii.Line("Ask Ana Ruiz, 12 Elm Road, 555-010-9999 or ana@x.org")
+    lattice = pii.Lattice(line, frozenset(["ask", "or"]), frozenset())
+    n = len(lattice.segments)
+    score = [r.uniform(-2, 2) for _ in range(n)]
+    step = [[r.uniform(-1, 1) for _ in near] for near in lattice.near]
+
+    def chains(k):
+        """Score and segments of every labelling whose last segment is k."""
+        yield score[k], [k]
+        for j in range(n):
+            between = lattice.segments[k][0] - lattice.segments[j][1]
+            if between >= 0:
+                move = next((s for (i, _), s in zip(lattice.near[k], step[k], strict=True) if i == j), 0.0)
+                for s, chain in chains(j):
+                    yield s + move + score[k], [*chain, k]
+
+    all_of = [(0.0, []), *(c for k in range(n) for c in chains(k))]
+    z = sum(math.exp(s) for s, _ in all_of)
+    ending, upto = pii.forward(lattice, score, step)
+    assert n > 8 and abs(upto[-1] - math.log(z)) < 1e-9
+    of_segment, _ = pii.backward(lattice, score, step, ending, upto)
+    for k in range(n):
+        assert abs(of_segment[k] - sum(math.exp(s) for s, c in all_of if k in c) / z) < 1e-9
+    assert pii.best_segments(lattice, score, step) == max(all_of)[1]
 
 
 def test_mentions_and_their_places():
@@ -71,24 +104,6 @@ def test_no_mentions(text):
     assert pii.mentions(text) == []
 
 
-def test_best_segments_against_brute_force():
-    r = random.Random(8)
-    for _ in range(200):
-        scored = [(a + r.randint(1, 6), a, "k", r.choice([1.0, 2.0, 3.5])) for a in (r.randint(0, 20) for _ in range(r.randint(0, 9)))]
-
-        def best(i, chosen):
-            if i == len(scored):
-                return 0.0
-            b, a, _, s = scored[i]
-            skip = best(i + 1, chosen)
-            return max(skip, s + best(i + 1, [*chosen, (a, b)])) if all(b <= x or a >= y for x, y in chosen) else skip
-
-        want = best(0, [])
-        worth = {(a, b): max(s for y, x, _, s in scored if (x, y) == (a, b)) for b, a, _, _ in scored}
-        got = pii.best_segments(list(scored))
-        assert abs(sum(worth[a, b] for a, b, _ in got) - want) < 1e-9
-
-
 def test_frames(spark):
     rows = [(1, "Signed off: Vilena Aldmoor", ["read x", None, "note SSN 990-12-1517"], 5), (2, None, None, 5), (3, "", [], None), (1, "Signed off: Vilena Aldmoor", None, 5)]
     df = spark.createDataFrame(rows, "message_id long, content string, tool_calls array<string>, start_char int")
