@@ -109,10 +109,17 @@ def active_members(telemetry: DataFrame, web: DataFrame) -> DataFrame:
     return events.unionByName(visitors)
 
 
-def distinct_members(telemetry: DataFrame, web: DataFrame, target: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Daily partial bitmaps, and the estimates of every combination of day, version and os."""
-    most = telemetry.count() + web.count()  # row counts stand in the Parquet footers
-    m = bitmap_bits(most, target)
+def distinct_members(telemetry: DataFrame, web: DataFrame, target: float = 0.01, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Daily partial bitmaps, and the estimates of every combination of day, version and os.
+
+    `bits` (a power of two, 2^12 at least) sizes the bitmaps of a series of runs alike: take `bitmap_bits` of the largest
+    set the series is to hold. Without it they are sized for the rows of this run; partials carry their size either way,
+    and `union_bitmaps` folds larger ones.
+    """
+    if bits is not None and (bits < 1 << 12 or bits & (bits - 1)):
+        raise ValueError("bits must be a power of two from 4096 on")
+    # Row counts stand in the Parquet footers.
+    m = bits or bitmap_bits(telemetry.count() + web.count(), target)
     partials = partial_bitmaps(active_members(telemetry, web), ["kind", "day", "version", "os"], F.col("member"), m)
     keys = ["day", "version", "os"]
     return partials.withColumn("bitmap_bits", F.lit(m).cast("long")), estimates(cube_bitmaps(partials, ["kind"], keys), ["kind", *keys], m)

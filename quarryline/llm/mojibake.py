@@ -9,7 +9,7 @@ Every text is scored whole: a vectorised pass finds texts in which any pair of n
 clean, and those are decoded. Damage that stands only inside quotation marks or back-ticks, as a word or less, is the
 text's subject, not damage. U+FFFD outside of such quotes is damage that can't be undone.
 
-Null, blank and ASCII texts are clean. Restored text is null where a span can't be inverted as a whole.
+Null, blank and ASCII texts are clean. Spans are restored one by one; restored text is null where none can be undone.
 """
 
 from __future__ import annotations
@@ -323,7 +323,11 @@ def _undo_span(text: str, state: int) -> str | None:
 
 
 def examine(text: str | None) -> tuple[list[tuple[int, int, int, float]], str | None, bool] | None:
-    """Spans, the restored text (None: not recoverable) and whether characters were lost; None for a clean text."""
+    """Spans, the restored text and whether something stays lost; None for a clean text.
+
+    Each span is undone by itself: one that can't be, like lost characters, stays as it is while the others are restored
+    (`lost` is then true). The restored text is None only where nothing could be undone.
+    """
     if not text:
         return None
     plain = ENTITY.sub(lambda m: chr(int(m.group(1))) if 127 < int(m.group(1)) < 0xD800 else m.group(), text)
@@ -332,7 +336,7 @@ def examine(text: str | None) -> tuple[list[tuple[int, int, int, float]], str |
     lost = [m.start() for m in re.finditer(NONE, plain)]
     if all(_quoted(plain, a, b, quotes) for a, b, _, _ in spans) and all(_quoted(plain, i, i + 1, quotes) for i in lost):
         return None
-    out, at = [], 0
+    out, at, stuck = [], 0, False
     for a, b, s, _ in spans:
         if _quoted(plain, a, b, quotes):
             continue
@@ -340,10 +344,11 @@ def examine(text: str | None) -> tuple[list[tuple[int, int, int, float]], str |
         if fixed is None and b < len(plain) and (fixed := _undo_span(plain[a : b + 1], s)) is not None:
             b += 1  # the last byte of a multi-byte character may read as ASCII
         if fixed is None:
-            return spans, None, bool(lost)
+            stuck = True
+            continue
         out += [plain[at:a], fixed]
         at = b
-    return spans, None if lost else "".join(out) + plain[at:], bool(lost)
+    return spans, "".join(out) + plain[at:] if out else None, stuck or bool(lost)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

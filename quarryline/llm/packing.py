@@ -26,6 +26,8 @@ from quarryline.llm.tokens import source_name
 
 MAX_CAPACITY = 1 << 20
 MAX_PACKS = 1000
+#: A packing's sizes stand at its number times this in the plan.
+KEY = MAX_CAPACITY + 1
 
 
 class OpenBins:
@@ -97,9 +99,22 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[list[
     return steps, opened
 
 
+class Seen:
+    """Items counted so far by size; only sizes that occur are kept."""
+
+    def __init__(self) -> None:
+        self.counts: dict[int, int] = {}
+
+    def add(self, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds counts of distinct sizes; what was counted before of each."""
+        before = np.array([self.counts.get(x, 0) for x in sizes.tolist()], np.int64)
+        self.counts.update(zip(sizes.tolist(), (before + counts).tolist(), strict=True))
+        return before
+
+
 def _items(batches: Iterator[pa.RecordBatch], packs: list[tuple[int, int, str | None]]) -> Iterator[pa.RecordBatch]:
     """(pack number, doc, full pieces, rest, ranks within this partition of both) of every document of every packing."""
-    seen: list[np.ndarray] = [np.zeros(c + 1, np.int64) for _, c, _ in packs]
+    seen = [Seen() for _ in packs]
     for batch in batches:
         doc, n = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("n_tokens").to_numpy().astype(np.int64)
         source = np.array(batch.column("source").to_pylist(), dtype=object)
@@ -111,12 +126,9 @@ def _items(batches: Iterator[pa.RecordBatch], packs: list[tuple[int, int, str |
             # The rank of an item is the number of items of its size before it.
             order = np.argsort(rest, kind="stable")
             sizes, start, counts = np.unique(rest[order], return_index=True, return_counts=True)
-            local = np.empty(len(at), np.int64)
-            local[order] = np.arange(len(at)) - np.repeat(start, counts)
-            rest_rank = seen[k][rest] + local
-            seen[k][sizes] += counts
-            full_rank = seen[k][capacity] + np.cumsum(full) - full
-            seen[k][capacity] += full.sum()
+            rest_rank = np.empty(len(at), np.int64)
+            rest_rank[order] = np.arange(len(at)) + np.repeat(seen[k].add(sizes, counts) - start, counts)
+            full_rank = seen[k].add(np.array([capacity]), full.sum(keepdims=True)) + np.cumsum(full) - full
             yield pa.RecordBatch.from_pydict(
                 {
                     "pack": pa.array(np.full(len(at), k, np.int32)),
@@ -131,26 +143,25 @@ def _items(batches: Iterator[pa.RecordBatch], packs: list[tuple[int, int, str |
 
 def _counts(batches: Iterator[pa.RecordBatch], packs: list[tuple[int, int, str | None]]) -> Iterator[pa.RecordBatch]:
     """(pack number, size, items) of this partition."""
-    seen: list[np.ndarray] = [np.zeros(c + 1, np.int64) for _, c, _ in packs]
+    seen = [Seen() for _ in packs]
     for batch in batches:
         n = batch.column("n_tokens").to_numpy().astype(np.int64)
         source = np.array(batch.column("source").to_pylist(), dtype=object)
         for k, (_, capacity, own) in enumerate(packs):
             mine = n if own is None else n[source == own]
-            seen[k] += np.bincount(mine % capacity, minlength=capacity + 1)
-            seen[k][capacity] += (mine // capacity).sum()
+            seen[k].add(*np.unique(mine % capacity, return_counts=True))
+            seen[k].add(np.array([capacity]), (mine // capacity).sum(keepdims=True))
     for k, s in enumerate(seen):
-        s[0] = 0
-        at = np.flatnonzero(s)
-        yield pa.RecordBatch.from_pydict({"pack": pa.array(np.full(len(at), k, np.int32)), "size": pa.array(at), "n": pa.array(s[at])})
+        own = [(size, n) for size, n in s.counts.items() if size and n]
+        yield pa.RecordBatch.from_pydict({"pack": pa.array(np.full(len(own), k, np.int32)), "size": pa.array([x for x, _ in own], pa.int64()), "n": pa.array([n for _, n in own], pa.int64())})
 
 
 def _place(batches: Iterator[pa.RecordBatch], packs: list[tuple[int, int, str | None]], plan) -> Iterator[pa.RecordBatch]:
-    base, starts, first, each = plan.value
+    keys, base, starts, first, each = plan.value
     names = ["pack_id", "doc_id", "piece_no", "start_token", "n_tokens", "container_id"]
 
     def look(pack: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        item = base[pack, size] + rank
+        item = base[np.searchsorted(keys, pack.astype(np.int64) * KEY + size)] + rank
         step = np.searchsorted(starts, item, "right") - 1
         return first[step] + (item - starts[step]) // each[step]
 
@@ -200,18 +211,19 @@ def pack(tokens: DataFrame, pack_sizes: DataFrame) -> DataFrame:
     histograms: dict[int, dict[int, int]] = {}
     for r in counts.groupBy("pack", "size").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
         histograms.setdefault(r["pack"], {})[r["size"]] = r["n"]
-    base = np.zeros((len(packs), max(c for _, c, _ in packs) + 1), np.int64)
+    base: dict[int, int] = {}  # sizes that occur only
     starts, first, each, total = [], [], [], 0
     for k, (_, capacity, _) in enumerate(packs):
         histogram = histograms.get(k, {})
         for size in sorted(histogram, reverse=True):
-            base[k, size] = total
+            base[k * KEY + size] = total
             total += histogram[size]
         for size, rank, _, bin_, per_bin in best_fit_decreasing(histogram, capacity)[0]:
-            starts.append(base[k, size] + rank)
+            starts.append(base[k * KEY + size] + rank)
             first.append(bin_)
             each.append(per_bin)
-    plan = spark.sparkContext.broadcast((base, *(np.array(x, np.int64) for x in (starts, first, each))))
+    keys = sorted(base)
+    plan = spark.sparkContext.broadcast(tuple(np.array(x, np.int64) for x in (keys, [base[k] for k in keys], starts, first, each)))
 
     items = tokens.mapInArrow(partial(_items, packs=packs), "pack int, doc_id long, full long, rest long, full_rank long, rest_rank long").withColumn("part", F.spark_partition_id())
     offsets = counts.select("part", "pack", "size", "offset")

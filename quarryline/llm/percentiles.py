@@ -27,6 +27,8 @@ from quarryline.common import cut
 BITS = 8
 MAX_TARGETS = 200_000
 BLOCK = 1 << 18
+#: Rounds between two prunings: cells outside all open ranges of their group are then left behind.
+PRUNE = 4
 
 
 def cell_shift(value: Column, bits: int) -> Column:
@@ -105,6 +107,21 @@ def _round(batches: Iterator[pa.RecordBatch], groups: list, targets: dict[int, l
         yield block(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _open_cells(batches: Iterator[pa.RecordBatch], groups: list, ranges: dict[int, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Cells within an open range of their group."""
+    code = {g: i for i, g in enumerate(groups)}
+    for batch in batches:
+        keys = batch.column("grp").dictionary_encode(null_encoding="encode")
+        who = np.array([code.get(g, -1) for g in keys.dictionary.to_pylist()], dtype=np.int64)[keys.indices.to_numpy()]
+        cell, keep = batch.column("cell").to_numpy(), np.zeros(batch.num_rows, bool)
+        order = np.argsort(who, kind="stable")
+        for g in np.unique(who):
+            rows = order[slice(*np.searchsorted(who[order], [g, g + 1]))]
+            for low, high in ranges.get(int(g), ()):
+                keep[rows] |= (cell[rows] > low) & (cell[rows] < high)
+        yield batch.filter(pa.array(keep))
+
+
 def select_ranks(cells: DataFrame, percentiles: list[float], max_rounds: int = 200) -> DataFrame:
     """grp, values, percentile, cell: the nearest-rank cell of each percentile of each group.
 
@@ -116,12 +133,15 @@ def select_ranks(cells: DataFrame, percentiles: list[float], max_rounds: int = 2
     totals = cut(cells.groupBy("grp").agg(F.sum("n").alias("n"), F.min("cell").alias("low"), F.max("cell").alias("high")))
     turns = max(1, -(-totals.count() * len(percentiles) // MAX_TARGETS))
     turn = F.pmod(F.xxhash64("grp"), F.lit(turns))
-    out = []
+    schema = "grp string, `values` long, percentile double, cell long"
+    out = spark.createDataFrame([], schema)
     for t in range(turns):
         own = cells if turns == 1 else cells.where(turn == t)
-        out.append(_select(own, (totals if turns == 1 else totals.where(turn == t)).collect(), percentiles, max_rounds))
-    rows = [row for part in out for row in part]
-    return spark.createDataFrame(rows, "grp string, `values` long, percentile double, cell long")
+        rows = _select(own, (totals if turns == 1 else totals.where(turn == t)).collect(), percentiles, max_rounds)
+        part = spark.createDataFrame(rows, schema)
+        # A turn's ranks leave the driver before the next one begins.
+        out = part if turns == 1 else out.unionByName(cut(part))
+    return out
 
 
 def _select(cells: DataFrame, totals: list, percentiles: list[float], max_rounds: int) -> list[tuple]:
@@ -133,7 +153,7 @@ def _select(cells: DataFrame, totals: list, percentiles: list[float], max_rounds
         for p in percentiles
     ]
     found: dict[int, int] = {}
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         left: dict[int, list[tuple]] = {}
         for t, s in enumerate(state):
             if t not in found:
@@ -143,6 +163,9 @@ def _select(cells: DataFrame, totals: list, percentiles: list[float], max_rounds
                     left.setdefault(s["g"], []).append((t, s["low"], s["high"], s["pivot"]))
         if not left:
             break
+        if n and n % PRUNE == 0:
+            ranges = {g: sorted({(low, high) for _, low, high, _ in own}) for g, own in left.items()}
+            cells = cut(cells.mapInArrow(partial(_open_cells, groups=groups, ranges=ranges), "grp string, cell long, n long"))
         median = lambda side: F.percentile(f"median_{side}", 0.5, F.col(side)).alias(f"median_{side}")
         proposed = (
             cells.mapInArrow(partial(_round, groups=groups, targets=left), "target long, below long, at long, above long, median_below long, median_above long")

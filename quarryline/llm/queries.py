@@ -74,7 +74,7 @@ def _uuid(c: str) -> str:
 
 
 _OS = "coalesce(nullif(CASE WHEN lower(trim(os)) IN ('darwin', 'mac', 'mac os', 'os x') THEN 'macos' ELSE lower(trim(os)) END, ''), '(unknown)')"
-P7 = f"""
+_BITS = f"""
 WITH size AS (
   SELECT (SELECT count(*) FROM telemetry_events) + (SELECT count(*) FROM web_details) AS most
 ), bitmap AS (
@@ -90,7 +90,14 @@ WITH size AS (
 ), bits AS (
   SELECT DISTINCT kind, coalesce(day::VARCHAR, '(unknown)') AS day, version, os, ('0x' || substr(md5(member), 1, 15))::BIGINT % m AS bit
   FROM members, bitmap WHERE member IS NOT NULL
-), ones AS (
+)
+"""
+#: A word's bits as a signed number: the sum of its distinct powers of two, less 2^64 where the sign bit is set.
+P7_DAILY = _BITS + """
+SELECT kind, day, version, os, bit // 64 AS word, (CASE WHEN u >= 1::HUGEINT << 63 THEN u - (1::HUGEINT << 64) ELSE u END)::BIGINT AS bits, m AS bitmap_bits
+FROM (SELECT kind, day, version, os, bit // 64 AS bit_word, min(bit) AS bit, sum(DISTINCT 1::HUGEINT << (bit % 64)::INT)::HUGEINT AS u FROM bits GROUP BY ALL), bitmap
+"""
+P7 = _BITS + """, ones AS (
   SELECT kind, coalesce(day, '(all)') AS day, coalesce(version, '(all)') AS version, coalesce(os, '(all)') AS os, count(DISTINCT bit) AS bits_set
   FROM bits GROUP BY kind, CUBE (day, version, os)
 ), estimated AS (
@@ -144,4 +151,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
-SQL = {"p4_percentiles": P4, "p4_daily_partials": P4_DAILY, "p7_distinct": P7}
+SQL = {"p4_percentiles": P4, "p4_daily_partials": P4_DAILY, "p7_distinct": P7, "p7_daily_partials": P7_DAILY}

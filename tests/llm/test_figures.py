@@ -174,3 +174,53 @@ def test_mixing(spark):
     assert mixing.mix(sizes, targets)[0].collect() == rows.collect()  # the seed decides
     assert mixing.mix(sizes.limit(0), targets)[0].count() == 0
     assert mixing.mix(sizes, targets.limit(0))[1].count() == 0
+
+
+def test_mean_of_drawn_numbers():
+    r = random.Random(8)
+    for mean in (0.001, 0.7, 3.0, 40.0, 2000.0):
+        for cap in (None, 1, 50):
+            u = [r.random() for _ in range(50)]
+            for x, got in zip(u, mixing.copies_of(mixing.np.array(u), mean, cap).tolist(), strict=True):
+                k, p, total = 0, -mean, 0.0
+                while True:
+                    total += math.exp(p)
+                    if x < total or k > 4000:
+                        break
+                    k += 1
+                    p += math.log(mean / k)
+                assert got == (k if cap is None else min(k, cap))
+
+
+def test_tiny_and_uncapped_shares(spark):
+    """A share of 1e-5 takes documents of its source, and a source without cap repeats as often as it must."""
+    r = random.Random(12)
+    rows = [(i, "big", r.randint(1, 400)) for i in range(20_000)] + [(10**6 + i, "small", 3) for i in range(5)] + [(2 * 10**6, "rest", 5)]
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    whole = sum(n for _, s, n in rows if s == "big")
+    targets = spark.createDataFrame([(1, "big", 1e-3, None), (1, "small", 1 - 1e-3, None), (2, "small", 0.5, 1), (2, "big", 0.5, 1), (3, "big", 0.02, None), (3, "rest", 0.98, None)], "mix_id int, source string, target_share double, max_repeats int")
+    found = {(x["mix_id"], x["source"]): x for x in mixing.mix(sizes, targets)[1].collect()}
+    assert abs(found[1, "big"]["tokens"] - 1e-3 * (whole + 15)) <= 400
+    assert abs(found[1, "small"]["actual_share"] - 0.999) < 1e-3 and found[1, "small"]["most_repeats"] > 600
+    assert found[2, "small"]["tokens"] == 15 and 0 < found[2, "big"]["tokens"] <= 400
+    assert abs(found[3, "big"]["actual_share"] - 0.02) < 1e-3
+
+
+def test_packing_at_the_largest_capacity(spark):
+    sizes = spark.createDataFrame([(1, "a", 3_000_000), (2, "a", 5), (3, "b", 5), (4, "b", packing.MAX_CAPACITY)], "doc_id long, source string, n_tokens int")
+    packs = spark.createDataFrame([(i, packing.MAX_CAPACITY - i, None) for i in range(40)], "pack_id int, capacity_tokens int, source string")
+    placed = packing.pack(sizes, packs).collect()
+    assert {x["pack_id"] for x in placed} == set(range(40))
+    for p in range(40):
+        mine = [x for x in placed if x["pack_id"] == p]
+        fill = {}
+        for x in mine:
+            fill[x["container_id"]] = fill.get(x["container_id"], 0) + x["n_tokens"]
+        assert sum(fill.values()) == 3_000_010 + packing.MAX_CAPACITY and max(fill.values()) <= packing.MAX_CAPACITY - p
+
+
+def test_bitmaps_of_a_set_size(spark):
+    web, events_ = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("web_details", "telemetry_events"))
+    assert [r[0] for r in distinct.distinct_members(events_, web, bits=1 << 15)[0].select("bitmap_bits").distinct().collect()] == [1 << 15]
+    with pytest.raises(ValueError):
+        distinct.distinct_members(events_, web, bits=5000)

@@ -44,6 +44,12 @@ def test_lost_characters():
     assert lost and restored is None
 
 
+def test_spans_are_restored_one_by_one():
+    text = M.damage("Größe überprüfen", "utf_8>cp1252") + " and a na�ve fix, plain words between them. " + M.damage("Спасибо, тест прошёл", "cp1251>cp1252")
+    _, restored, lost = M.examine(text)
+    assert lost and restored.startswith("Größe überprüfen and a na�ve fix") and restored.endswith("Спасибо, тест прошёл")
+
+
 def test_damaged_frame(spark):
     rows = [(i, t, 1) for i, t in enumerate([*CLEAN, M.damage(TEXTS[0][0], "utf_8>cp1252")])]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
