@@ -157,18 +157,23 @@ def _columns(batches: Iterator[pa.RecordBatch], types: int, totals: int, schema:
     yield from flush(False)
 
 
+def event_types(events: DataFrame, event_type: str, max_types: int = 5000) -> list[str]:
+    """All event types, sorted; more than `max_types` raise, as columns of a table can't grow with the data."""
+    types = sorted(r[0] for r in events.select(F.col(event_type)).where(F.col(event_type).isNotNull()).distinct().limit(max_types + 1).collect())
+    if len(types) > max_types:
+        raise ValueError(f"more than {max_types} event types")
+    return types
+
+
 def entity_features(
-    events: DataFrame, entity: str, event_type: str, at: str, totals: list[str], types: list[str] | None = None, max_types: int = 5000, buckets: int | None = None
+    events: DataFrame, entity: str, event_type: str, at: str, totals: list[str], types: list[str] | None = None, buckets: int | None = None
 ) -> DataFrame:
     """One row per entity: `<type>_events` and `<type>_last` for each type, `events`, and `<total>_total` for each of `totals`.
 
-    `events` must already be free of resends (`first_stored`). Types are taken from the data unless given; more than
-    `max_types` raise, as columns of a table can't grow with the data.
+    `events` must already be free of resends (`first_stored`). Types are taken from the data unless given.
     """
     if types is None:
-        types = sorted(r[0] for r in events.select(F.col(event_type)).where(F.col(event_type).isNotNull()).distinct().limit(max_types + 1).collect())
-    if len(types) > max_types:
-        raise ValueError(f"more than {max_types} event types")
+        types = event_types(events, event_type)
     shown, types = types, types or [""]
     sums = [F.col(c).cast("long").alias(f"t{k}") for k, c in enumerate(totals)]
     rows = events.select(F.col(entity).cast("string").alias("entity"), F.col(event_type).alias("type"), F.col(at).cast("timestamp_ntz").alias("at"), *sums)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import sys
 from collections.abc import Iterator
 from functools import partial
@@ -28,6 +29,7 @@ OCCURRENCE = (
 #: More array fields than this and they are joined per record instead of being sent to the tasks.
 MAX_SENT_PATHS = 20_000
 CHUNK = 20_000
+POSITION = re.compile(r"\[\d+\]")
 #: The walk goes as deep as a record does.
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 
@@ -150,8 +152,13 @@ def _objects_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"record_id": pa.array(ids, pa.int64()), "path": pa.array(paths, pa.string())})
 
 
+OBJECT = "record_id long, parent_path string, child_path string, ordinal int, node_id string, parent_node_id string, body string"
+NODE = "node_id string, body string"
+
+
 def _walk(batches: Iterator[pa.RecordBatch], sent: frozenset[str] | None, what: str) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in (OCCURRENCE if what == "occurrences" else "node_id string, body string").split(", ")]
+    """Occurrences, distinct nodes, or (any other `what`) the objects at that path, array positions left out."""
+    names = [f.split()[0] for f in {"occurrences": OCCURRENCE, "nodes": NODE}.get(what, OBJECT).split(", ")]
     types = {"record_id": pa.int64(), "ordinal": pa.int32(), "depth": pa.int32(), "in_array": pa.bool_()}
     schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
 
@@ -170,6 +177,8 @@ def _walk(batches: Iterator[pa.RecordBatch], sent: frozenset[str] | None, what:
             found, nodes = decompose(record, sent if wrapped is None else frozenset(wrapped[i] or ()))
             if what == "occurrences":
                 rows += [(key, r[0], r[1], *r[2:]) for r in found]
+            elif what != "nodes":
+                rows += [(key, r[0], r[1], r[4], r[7], r[8], nodes[r[7]]) for r in found if POSITION.sub("", r[1]) == what]
             else:
                 rows += [(k, v) for k, v in nodes.items() if k not in seen]
                 seen.update(nodes)
@@ -207,6 +216,20 @@ def nodes(df: DataFrame, record_id: str, raw: str) -> DataFrame:
     return own.mapInArrow(partial(_walk, sent=sent, what="nodes"), "node_id string, body string").groupBy("node_id").agg(F.min("body").alias("body"))
 
 
+def flat_table(df: DataFrame, record_id: str, raw: str, path: str, columns: dict[str, str]) -> DataFrame:
+    """A typed table of the objects at a path (array positions left out), one row per occurrence, in one pass.
+
+    record_id, parent_path (of the nearest array element around it), child_path, ordinal (-1: not in an array), node_id and
+    parent_node_id (the identities of the object and of the one directly around it), and the columns: name to kind (long,
+    boolean, string). Numbers may stand as text; what isn't of the kind gives null.
+    """
+    own, sent = _records(df, record_id, raw)
+    rows = own.mapInArrow(partial(_walk, sent=sent, what=path), OBJECT)
+    field = lambda n: F.get_json_object("body", f"$['{n}']")
+    typed = {"long": lambda c: F.round(c.try_cast("double")).cast("long"), "boolean": lambda c: F.lower(c).try_cast("boolean"), "string": lambda c: c}
+    return rows.select("record_id", "parent_path", "child_path", "ordinal", "node_id", "parent_node_id", *(typed[k](field(n)).alias(n) for n, k in columns.items()))
+
+
 def array_cases(df: DataFrame, record_id: str, raw: str) -> DataFrame:
     """Objects that are elements of arrays, each with the path of the nearest such object around it."""
     return occurrences(df, record_id, raw).where("in_array").select(F.col("record_id").alias(record_id), "parent_path", "child_path")

@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from quarryline.common import digest16, shuffle_width, uuid_key
 
 PARENT, DELETED, REFERENCE = 0, 1, 2
+#: Parents a range holds at most, before copies of a key are counted once.
+RANGE_ROWS = 4_000_000
 
 MISSES = T.StructType(
     [
@@ -110,9 +112,10 @@ def orphan_references(
     """References whose key has no parent, a deleted parent, or a parent first received later than the record.
 
     references: target int, table_name, record_id, ref_field, key string, received_at. parents: target, key, received_at.
-    deleted: target, key. `target` numbers the (table, column) pointed to. One row per distinct miss.
+    deleted: target, key. `target` numbers the (table, column) pointed to. One row per distinct miss. The number of ranges
+    follows the parents, so that a range's sorted arrays stay within RANGE_ROWS keys (28 bytes each) in a task's memory.
     """
-    n = ranges or max(8, shuffle_width(references))
+    n = ranges or max(8, shuffle_width(references), -(-parents.count() // RANGE_ROWS))
     digest = digest16(F.col("key"))
     at = F.pmod(F.conv(F.hex(F.substring(F.col("digest"), 1, 4)), 16, 10).cast("long") * F.lit(n) / F.lit(2**32), F.lit(n)).cast("int")
     none = lambda t: F.lit(None).cast(t)
@@ -135,14 +138,21 @@ def orphan_references(
     counts = {r["slot"]: r["n"] for r in refs.groupBy("slot").agg(F.count("*").alias("n")).collect()}
     mean = max(1.0, sum(counts.values()) / n)
     copies = [max(1, round(counts.get(i, 0) / mean)) if counts.get(i, 0) > hot_factor * mean else 1 for i in range(n)]
-    first = np.concatenate([[0], np.cumsum(copies)]).tolist()
-    start = F.element_at(F.array(*map(F.lit, first)), F.col("slot") + 1)
-    width = F.element_at(F.array(*map(F.lit, copies)), F.col("slot") + 1)
-    built = built.select("*", F.explode(F.sequence(start, start + width - 1)).alias("task")).drop("slot")
-    refs = refs.select("*", (start + F.pmod(F.xxhash64("table_name", "record_id"), width)).cast("int").alias("task")).drop("slot")
+    # Only ranges that are split stand in the plan; the others keep their number, copies follow all of them.
+    split = {i: c for i, c in enumerate(copies) if c > 1}
+    beyond = n + np.concatenate([[0], np.cumsum([c - 1 for c in split.values()])])
+    if split:
+        own = F.create_map(*(F.lit(x) for i, c, b in zip(split, split.values(), beyond.tolist(), strict=False) for x in (f"w{i}", c, f"b{i}", b)))
+        slot = F.col("slot").cast("string")
+        width, base = F.coalesce(own[F.concat(F.lit("w"), slot)], F.lit(1)), own[F.concat(F.lit("b"), slot)]
+    else:
+        width, base = F.lit(1), F.lit(0)
+    task = lambda k: F.when(k == 0, F.col("slot")).otherwise(base + k - 1).cast("int")
+    built = built.select("*", F.explode(F.transform(F.sequence(F.lit(0), width - 1), task)).alias("task")).drop("slot")
+    refs = refs.select("*", task(F.pmod(F.xxhash64("table_name", "record_id"), width)).alias("task")).drop("slot")
     return (
         built.unionByName(refs)
-        .repartitionById(first[-1], F.col("task"))
+        .repartitionById(int(beyond[-1]), F.col("task"))
         .sortWithinPartitions("kind")
         .mapInArrow(_probe, MISSES)
         .dropDuplicates()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.common import table
 from quarryline.operators import nested_records, orphan_refs, schema_drift
-from quarryline.operators.entity_features import entity_features, first_stored
+from quarryline.operators.entity_features import entity_features, event_types, first_stored
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,26 +26,76 @@ def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested_records.nodes(table(spark, sf_dir, "memory_samples"), "sample_id", "raw")
 
 
+#: Objects of a memory sample that become tables: path and typed fields.
+TABLES = {
+    "sessions": (
+        "sessions.top_by_json_bytes",
+        dict.fromkeys(("session_id", "provider", "model"), "string")
+        | {"memory_enabled": "boolean"}
+        | dict.fromkeys(("message_count", "json_bytes", "payload_text_bytes", "provider_cache_json_bytes", "tool_result_bytes", "large_blob_bytes"), "long"),
+    ),
+    "clients": ("clients.items", {"client_instance_id": "string", "connected_ms": "long"}),
+    "allocators": ("process.allocator.stats", dict.fromkeys(("allocated_bytes", "retained_bytes", "resident_bytes"), "long")),
+    "totals": ("totals", {"total_attributed_bytes": "long"}),
+}
+
+
+def _table_of(name: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested_records.flat_table(table(spark, sf_dir, "memory_samples"), "sample_id", "raw", *TABLES[name]).drop("node_id", "parent_node_id")
+
+    return f
+
+
+def _unquoted(x: str) -> str:
+    """JSON text inside a JSON value read as if it weren't quoted."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid(trim({x}->>'$')) AND left(trim({x}->>'$'), 1) IN ('{{', '[') THEN trim({x}->>'$')::JSON ELSE {x} END"
+
+
+def _table_sql(name: str) -> str:
+    path, columns = TABLES[name]
+    steps = path.split(".")
+    sql = "WITH s0 AS (SELECT sample_id, CASE WHEN json_valid(ltrim(raw, chr(65279))) THEN ltrim(raw, chr(65279))::JSON END AS v FROM memory_samples), r0 AS (SELECT sample_id, " + _unquoted("v") + " AS v FROM s0)"
+    for i, k in enumerate(steps, 1):
+        sql += f", s{i} AS (SELECT sample_id, v->'$.{k}' AS v FROM r{i - 1} WHERE json_type(v) = 'OBJECT'), r{i} AS (SELECT sample_id, {_unquoted('v')} AS v FROM s{i})"
+    last = f"r{len(steps)}"
+    cast = {"long": "round(TRY_CAST({} AS DOUBLE))::BIGINT", "boolean": "TRY_CAST({} AS BOOLEAN)", "string": "{}"}
+    typed = ", ".join(f"{cast[k].format(f'(o->>' + chr(39) + '$.' + n + chr(39) + ')')} AS {n}" for n, k in columns.items())
+    if name in ("sessions", "clients"):
+        items = f"(SELECT sample_id, i - 1 AS ordinal, {_unquoted('o')} AS o FROM (SELECT sample_id, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN v::JSON[] WHEN json_type(v) = 'OBJECT' THEN [v] END) AS o, generate_subscripts(CASE WHEN json_type(v) = 'ARRAY' THEN v::JSON[] WHEN json_type(v) = 'OBJECT' THEN [v] END, 1) AS i FROM {last}))"
+        return f"{sql} SELECT sample_id AS record_id, '' AS parent_path, '{path}[' || ordinal || ']' AS child_path, ordinal::INT AS ordinal, {typed} FROM {items} WHERE json_type(o) = 'OBJECT'"
+    return f"{sql} SELECT sample_id AS record_id, '' AS parent_path, '{path}' AS child_path, -1 AS ordinal, {typed} FROM (SELECT sample_id, v AS o FROM {last}) WHERE json_type(o) = 'OBJECT'"
+
+
+def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    raw = table(spark, sf_dir, "telemetry_events")
+    # Types come from one narrow scan of all rows, before resends are left out: a resend is of its event's type.
+    types = event_types(raw, "event")
+    return entity_features(first_stored(raw), "telemetry_id", "event", "created_at", ["tool_calls", "turns"], types), types
+
+
 def p2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = first_stored(table(spark, sf_dir, "telemetry_events"))
-    return entity_features(events, "telemetry_id", "event", "created_at", ["tool_calls", "turns"])
-
-
-P2_FEATURES = """
-SELECT * FROM (
-  WITH one AS (
-    SELECT * FROM telemetry_events
-    QUALIFY row_number() OVER (
-      PARTITION BY CASE WHEN trim(coalesce(event_id, '')) = '' THEN 'row:' || id ELSE event_id END ORDER BY received_at, id) = 1
-  )
-  SELECT * FROM (
-    SELECT telemetry_id, count(event) AS events, coalesce(sum(tool_calls), 0)::BIGINT AS tool_calls_total,
-           coalesce(sum(turns), 0)::BIGINT AS turns_total
-    FROM one GROUP BY telemetry_id
-  ) JOIN (
-    PIVOT (SELECT telemetry_id, event, created_at FROM one) ON event USING count(*) AS events, max(created_at) AS last GROUP BY telemetry_id
-  ) USING (telemetry_id)
+    return _features(spark, sf_dir)[0]
+
+
+def p2_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table by rows, an entity and event type each, with the entity's totals: what SQL can state."""
+    wide, types = _features(spark, sf_dir)
+    cells = F.array(*(F.struct(F.lit(t).alias("event"), F.col(f"`{t}_events`").alias("events"), F.col(f"`{t}_last`").alias("last")) for t in types))
+    return wide.select("telemetry_id", "tool_calls_total", "turns_total", F.inline(F.filter(cells, lambda x: x["events"] > 0)))
+
+
+P2_CELLS = """
+WITH one AS (
+  SELECT * FROM telemetry_events
+  QUALIFY row_number() OVER (
+    PARTITION BY CASE WHEN trim(coalesce(event_id, '')) = '' THEN 'row:' || id ELSE event_id END ORDER BY received_at, id) = 1
+), totals AS (
+  SELECT telemetry_id, coalesce(sum(tool_calls), 0)::BIGINT AS tool_calls_total, coalesce(sum(turns), 0)::BIGINT AS turns_total FROM one GROUP BY 1
+), cells AS (
+  SELECT telemetry_id, event, count(*) AS events, max(created_at) AS last FROM one WHERE event IS NOT NULL GROUP BY 1, 2
 )
+SELECT c.telemetry_id, tool_calls_total, turns_total, event, events, last FROM cells c JOIN totals t ON c.telemetry_id IS NOT DISTINCT FROM t.telemetry_id
 """
 
 
@@ -118,7 +168,9 @@ QUERIES = {
     "p1_samples": p1_samples,
     "p1_bridge": p1_bridge,
     "p1_nodes": p1_nodes,
+    **{f"p1_{n}": _table_of(n) for n in TABLES},
     "p2_features": p2_features,
+    "p2_cells": p2_cells,
     "p3_found": p3_found,
     "p3_changes": p3_changes,
     "p3_telemetry_events": _stream("telemetry_events"),
@@ -127,4 +179,4 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_by_period": p6_by_period,
 }
-SQL = {"p2_features": P2_FEATURES, "p6_found": P6_FOUND, "p6_by_period": P6_BY_PERIOD}
+SQL = {f"p1_{n}": _table_sql(n) for n in TABLES} | {"p2_cells": P2_CELLS, "p6_found": P6_FOUND, "p6_by_period": P6_BY_PERIOD}

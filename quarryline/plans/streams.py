@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+
 
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ def query(sql: str | None = None):
 
 def _folder(spark) -> str:
     """The cluster's shared folder; one of our own only where it names none."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarryline-stream-")
+    return shared_folder(spark)
 
 
 def _stream(spark, d):
