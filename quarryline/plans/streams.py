@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
-from quarryline.common import table
+from quarryline.common import shared_folder, table
 from quarryline.plans.telemetry import REF, ROLLUP, ref_ts
 from quarryline.sources import files as S
 from quarryline.streaming import events as E
@@ -24,11 +22,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def _folder(spark) -> str:
-    """The cluster's shared folder; one of our own only where it names none."""
-    return shared_folder(spark)
-
-
 def _stream(spark, d):
     t = table(spark, d, "telemetry_events")
     return E.read(spark, f"{d}/telemetry_events*.parquet", t.schema)
@@ -36,17 +29,17 @@ def _stream(spark, d):
 
 @query("SELECT event_id, count(*) AS n FROM (SELECT DISTINCT event_id FROM telemetry_events) GROUP BY 1")
 def stream_dedup(spark, d):
-    out = E.run_once(E.deduplicated(_stream(spark, d).select("event_id", "received_at"), None), _folder(spark))
+    out = E.run_once(E.deduplicated(_stream(spark, d).select("event_id", "received_at"), None), shared_folder(spark))
     return out.groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query(ROLLUP)
 def stream_rollup(spark, d):
-    return E.run_rollup(_stream(spark, d), _folder(spark))
+    return E.run_rollup(_stream(spark, d), shared_folder(spark))
 
 
 def stream_sessions(spark, d):
-    return E.run_sessions(_stream(spark, d), _folder(spark))
+    return E.run_sessions(_stream(spark, d), shared_folder(spark))
 
 
 QUERIES["stream_sessions"] = stream_sessions
