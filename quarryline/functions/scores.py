@@ -35,3 +35,12 @@ def freshness(seen: Column, changed: Column) -> Column:
     """
     age = (F.unix_micros(changed.cast("timestamp")) - F.unix_micros(seen.cast("timestamp"))) / 1e6
     return F.when(seen.isNull(), 0.7).when(changed.isNull(), 0.72).when(age <= 0, 1.0).when(age < 6, 0.92).when(age < 660, 0.68).when(age < 25_200, 0.45).otherwise(0.25)
+
+
+def exposure(body: Column, structure: Column, position: Column, messages: Column, cutoff: Column) -> tuple[Column, Column]:
+    """Confidences in a file's body and structure after how far back it was seen: the last 15 % of a session's messages
+    count in full, then .88 from 60 % on, .72 before, .42 in the compacted part (before `cutoff`)."""
+    ratio = F.when(messages <= 1, 1.0).otherwise((position + 1) / messages)
+    factor = F.when(F.coalesce(position < cutoff, F.lit(False)), 0.42).when(ratio >= 0.85, 1.0).when(ratio >= 0.6, 0.88).otherwise(0.72)
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    return clamp(body * factor), clamp(structure * (0.75 + 0.25 * factor))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.common import cut
 from quarryline.functions.text import query_terms, tokens
 
 #: Parameters of our choice: the usual BM25 and reciprocal-rank constants.
@@ -28,12 +30,14 @@ def _term_count(words: str, term: str) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key, score of documents that hold a query term.
 
-    Term frequencies are counted inside each row, so nothing of the text is shuffled: the scan gives one row per matching
-    document with its counts, and one row of corpus figures.
+    Term frequencies are counted inside each row, so nothing of the text is shuffled: one scan of the texts gives a narrow
+    row of counts per document, kept once; the corpus figures and the scores are read from those. Texts indexed before
+    (`search_index`) aren't read at all.
     """
     terms = query_terms(query)
     own = docs.select(key, tokens(F.col(text)).alias("w"))
     counted = own.select(key, F.size("w").alias("dl"), *(_term_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    counted = cut(counted)
     corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))))
     one = corpus.first()
     if not one["n"] or not terms:
@@ -57,10 +61,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / F.nullif(norm, F.lit(0.0))).otherwise(0.0)
 
 
-def query_vector(values: list[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
-
-
 def fuse(*ranked: tuple[DataFrame, str]) -> DataFrame:
     """Reciprocal-rank fusion of candidate lists (key, rank): sum of 1 / (60 + rank), a missing list adds nothing."""
     parts = None
@@ -106,6 +106,8 @@ def quality(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 #: Scores of the fuzzy alignment (fixed values).
 MATCH, CONSECUTIVE, BOUNDARY, FIRST, GAP, SUBSTITUTION, DELETION, TRANSPOSITION, EXACT = 16, 8, 9, 12, -3, -10, -12, 10, 32
 LOST = -(10**6)
+#: Cells of a matrix of words at most, but for a single longer word.
+MATRIX = 1 << 21
 
 
 def fuzzy_scores(pattern: str, words: list[str]) -> np.ndarray:
@@ -114,6 +116,13 @@ def fuzzy_scores(pattern: str, words: list[str]) -> np.ndarray:
     Words are rows of a matrix of code points; for every number of errors, `end` holds the best score with the last
     pattern character matched at this column and `any_` the best one at or before it, gaps paid.
     """
+    if len(words) * max([len(w) for w in words], default=0) > MATRIX and len(words) > 1:
+        # Words of like length together: a matrix is as wide as its longest word.
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        half, out = len(order) // 2, np.empty(len(words), np.int64)
+        for part in (order[:half], order[half:]):
+            out[part] = fuzzy_scores(pattern, [words[i] for i in part])
+        return out
     p = [ord(c) for c in pattern.lower()]
     budget = 0 if len(p) <= 2 else 1 if len(p) <= 8 else 2
     width = max([len(w) for w in words], default=0)
@@ -219,3 +228,18 @@ def best_of_each(scores: DataFrame, k: int) -> DataFrame:
     """query, key, score, rank of the best k of each query, ties by key."""
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
     return scores.withColumn("rank", nth).where(F.col("rank") <= k)
+
+
+#: Query vectors that are scored in one pass over the rows; more take further passes.
+QUERY_BLOCK = 20_000
+
+
+def scores_of_all(df: DataFrame, queries: DataFrame, key: str, vector: str, **how) -> DataFrame:
+    """`batch_scores` of any number of queries (key, vector), block after block; the driver holds one block of them."""
+    rows, out = queries.select(key, vector).toLocalIterator(), None
+    while block := [(r[0], r[1]) for r in islice(rows, QUERY_BLOCK)]:
+        part = batch_scores(df, key, vector, block, **how)
+        if out is not None or len(block) == QUERY_BLOCK:
+            part = cut(part)
+        out = part if out is None else out.unionByName(part)
+    return batch_scores(df.limit(0), key, vector, [], **how) if out is None else out

@@ -89,3 +89,20 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, ps: list[float]) ->
     upto = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
     at = lambda p: F.floor((F.col("__all") - 1) * p + 0.5)
     return upto.groupBy(*keys).agg(F.max("__all").alias("n"), *(F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps))
+
+
+def series_stats(df: DataFrame, key: str, at: str, tie: str, value: str, width_ms: int) -> DataFrame:
+    """Per series: events, mean and most of a chunk, mean and longest gap, span, and variation and most of time buckets.
+
+    Buckets are `width_ms` wide from the first event on, at least two; empty ones count as 0 without being made: sums over
+    the buckets that have events are divided by the number there are.
+    """
+    ms = F.unix_millis(F.col(at).cast("timestamp"))
+    own = df.select(F.col(key), F.col(value).alias("v"), ms.alias("t"), (ms - F.lag(ms).over(Window.partitionBy(key).orderBy(at, tie))).alias("gap"))
+    s = own.groupBy(key).agg(F.count("*").alias("events"), F.round(F.avg("v"), 6).alias("mean_chunk"), F.max("v").alias("max_chunk"), F.round(F.avg("gap"), 3).alias("mean_gap_ms"), F.max("gap").alias("max_gap_ms"), F.min("t").alias("t0"), (F.max("t") - F.min("t")).alias("span_ms"))
+    s = s.withColumn("n", F.greatest(F.floor(F.col("span_ms") / width_ms), F.lit(1)) + 1)
+    b = own.join(s.select(key, "t0", "n"), key).groupBy(key, "n", F.least(F.floor((F.col("t") - F.col("t0")) / width_ms), F.col("n") - 1).alias("k")).agg(F.sum("v").alias("v"))
+    c = b.groupBy(key).agg((F.sum("v") / F.first("n")).alias("m"), (F.sum(F.col("v") * F.col("v")) / F.first("n")).alias("q"), F.max("v").alias("top"))
+    spread = F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))
+    variation = F.when(F.col("m") == 0, 0.0).otherwise(spread / F.nullif("m", F.lit(0.0)))
+    return s.join(c, key).select(key, "events", "mean_chunk", "max_chunk", "mean_gap_ms", "max_gap_ms", "span_ms", F.round(variation, 6).alias("bucket_variation"), F.round(F.greatest(F.col("top"), F.lit(0.0)), 6).alias("bucket_max"))

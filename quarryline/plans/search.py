@@ -72,38 +72,72 @@ def _bm25(spark, d):
     return R.bm25(docs(spark, d), "doc_id", "text", QUERY).withColumn("score", F.round("score", 6))
 
 
-def _query_vector(spark, d):
-    return R.query_vector(vectors(spark, d).where("vec_id = 0").first()["embedding"])
+def _scored(spark, d, **how):
+    """Scores of all rows for every query: each row whose id is divisible by 20."""
+    v = vectors(spark, d)
+    return R.scores_of_all(v, v.where("vec_id % 20 = 0"), "vec_id", "embedding", **how)
 
 
-_Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+_QS = "(SELECT vec_id AS query, label AS own, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
+_COS, _DOT = (f"round(list_{f}(embedding::DOUBLE[], q::DOUBLE[]), 9)" for f in ("cosine_similarity", "inner_product"))
 
 
-@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, {_Q} WHERE list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) >= 0.1")
+@query(f"SELECT query, vec_id, round({_COS}, 5) AS score FROM embeddings, {_QS} WHERE {_COS} >= 0.1")
 def dense_search(spark, d):
-    v = vectors(spark, d).select("vec_id", R.cosine(F.col("embedding"), _query_vector(spark, d)).alias("score"))
-    return v.where("score >= 0.1").withColumn("score", F.round("score", 5))
+    found = _scored(spark, d, least=0.1)
+    return found.select("query", F.col("key").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT vec_id FROM embeddings, {_Q} ORDER BY round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 9) DESC, vec_id LIMIT 10")
+@query(f"SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY {_DOT} DESC, vec_id) AS rank FROM embeddings, {_QS} QUALIFY rank <= 10")
 def dense_top_k(spark, d):
-    v = vectors(spark, d).select("vec_id", F.round(R.dot(F.col("embedding"), _query_vector(spark, d)), 9).alias("score"))
-    return R.top_k(v, "score", "vec_id", 10).select("vec_id")
+    return _scored(spark, d, k=10, norm=False).select("query", F.col("key").alias("vec_id"), "rank")
 
 
-@query("SELECT label, i - 1 AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY ALL")
+@query("""WITH m AS (SELECT label, i - 1 AS dim, avg(embedding[i]::DOUBLE) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY ALL)
+SELECT label, dim, round(mean, 6) AS mean, round(mean / nullif(sqrt(sum(mean * mean) OVER (PARTITION BY label)), 0), 6) AS unit FROM m""")
 def centroids(spark, d):
-    """Mean vector of each cluster."""
-    return vectors(spark, d).select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    """Mean vector of each cluster, and the same with length 1."""
+    m = vectors(spark, d).select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.avg(F.col("x").cast("double")).alias("m"))
+    length = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label")))
+    return m.select("label", "dim", F.round("m", 6).alias("mean"), F.round(F.col("m") / F.nullif(length, F.lit(0.0)), 6).alias("unit"))
+
+
+DIMENSIONS = 64
+
+
+def _bucket(w):
+    return F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % DIMENSIONS
 
 
-@query(f"""WITH l AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 6) AS score FROM ({_BM25})) QUALIFY rank <= 50),
-v AS (SELECT vec_id AS key, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 9) DESC, vec_id) AS rank FROM embeddings, {_Q} QUALIFY rank <= 50)
+def hashed_cosine(documents, key: str, text: str, query: str):
+    """key, score: cosine of the query's and the documents' word counts, words hashed to 64 dimensions.
+
+    Words are counted by dimension where they lie; a document sends one row of 64 counts on.
+    """
+    import hashlib
+    from collections import Counter
+
+    wanted = Counter(int(hashlib.md5(t.encode()).hexdigest()[:2], 16) % DIMENSIONS for t in X.query_terms(query))
+    words = documents.select(F.col(key).alias("key"), F.explode(X.tokens(F.col(text))).alias("w")).select("key", _bucket(F.col("w")).alias("b"))
+    counts = words.groupBy("key").agg(*(F.count_if(F.col("b") == i).alias(f"c{i}") for i in range(DIMENSIONS)))
+    norm = F.sqrt(sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(DIMENSIONS)), F.lit(0)).cast("double"))
+    hit = sum((F.col(f"c{i}") * n for i, n in wanted.items()), F.lit(0))
+    return counts.select("key", (hit / (norm * sum(n * n for n in wanted.values()) ** 0.5)).alias("score"))
+
+
+_WORDS = "(SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM documents)"
+_HASHED = f"""(SELECT doc_id, round(sum(c * coalesce(n, 0)) / (sqrt(sum(c * c)) * sqrt((SELECT sum(n * n) FROM qv))), 9) AS score FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 2))::INT % 64 AS b, count(*) AS c FROM {_WORDS} GROUP BY ALL) LEFT JOIN qv USING (b) GROUP BY 1)"""
+_QV = "qv AS (SELECT ('0x' || substr(md5(w), 1, 2))::INT % 64 AS b, count(*) AS n FROM (SELECT unnest(['session', 'index', 'cache']) AS w) GROUP BY 1)"
+
+
+@query(f"""WITH {_QV}, l AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 6) AS score FROM ({_BM25})) QUALIFY rank <= 50),
+v AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {_HASHED} QUALIFY rank <= 50)
 SELECT key, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY 1""")
 def hybrid_search(spark, d):
+    """Ranks of the documents by words and by their vectors fused: both lists are of doc_id."""
     lexical = R.ranked(_bm25(spark, d), "score", "doc_id", 50)
-    dense = vectors(spark, d).select("vec_id", F.round(R.cosine(F.col("embedding"), _query_vector(spark, d)), 9).alias("score"))
-    return R.fuse((lexical, "doc_id"), (R.ranked(dense, "score", "vec_id", 50), "vec_id")).withColumn("score", F.round("score", 9))
+    dense = hashed_cosine(docs(spark, d), "doc_id", "text", QUERY).withColumn("score", F.round("score", 9))
+    return R.fuse((lexical, "doc_id"), (R.ranked(dense, "score", "key", 50), "key")).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH t AS (SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM ({_BM25}) QUALIFY rank <= 20)
@@ -120,54 +154,12 @@ def vote_consensus(spark, d):
     return R.consensus(b, "item", "rank", 5)
 
 
-@query(f"""WITH r AS (SELECT vec_id, label, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 9) DESC, vec_id) AS rank FROM embeddings, {_Q}),
-w AS (SELECT vec_id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0)), h AS (SELECT count(*) AS hits, min(rank) AS first FROM r JOIN w USING (vec_id) WHERE rank <= 10)
-SELECT hits / (SELECT count(*) FROM w)::DOUBLE AS recall, hits / 10.0::DOUBLE AS precision, coalesce(1.0::DOUBLE / first, 0) AS mrr, 1::BIGINT AS queries FROM h""")
-def retrieval_quality(spark, d):
-    v = vectors(spark, d)
-    label = v.where("vec_id = 0").first()["label"]
-    dense = v.select(F.col("vec_id").alias("key"), F.round(R.cosine(F.col("embedding"), _query_vector(spark, d)), 9).alias("score"))
-    results = R.ranked(dense, "score", "key", 10).withColumn("query", F.lit(0))
-    return R.quality(results, v.where(F.col("label") == label).select(F.lit(0).alias("query"), F.col("vec_id").alias("key")), 10)
-
-
-def _queries(spark, d):
-    """Every row whose id is divisible by 20 is a query."""
-    return [(r["vec_id"], r["embedding"]) for r in vectors(spark, d).where("vec_id % 20 = 0").select("vec_id", "embedding").collect()]
-
-
-_QS = "(SELECT vec_id AS query, label AS own, embedding AS q FROM embeddings WHERE vec_id % 20 = 0)"
-_COS, _DOT = (f"round(list_{f}(embedding::DOUBLE[], q::DOUBLE[]), 9)" for f in ("cosine_similarity", "inner_product"))
-
-
-@query(f"SELECT query, vec_id, round({_COS}, 5) AS score FROM embeddings, {_QS} WHERE {_COS} >= 0.1")
-def dense_search_all(spark, d):
-    found = R.batch_scores(vectors(spark, d), "vec_id", "embedding", _queries(spark, d), least=0.1)
-    return found.select("query", F.col("key").alias("vec_id"), F.round("score", 5).alias("score"))
-
-
-@query(f"SELECT query, vec_id, row_number() OVER (PARTITION BY query ORDER BY {_DOT} DESC, vec_id) AS rank FROM embeddings, {_QS} QUALIFY rank <= 10")
-def dense_top_k_all(spark, d):
-    return R.batch_scores(vectors(spark, d), "vec_id", "embedding", _queries(spark, d), k=10, norm=False).select("query", F.col("key").alias("vec_id"), "rank")
-
-
-@query(f"""WITH l AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 6) AS score FROM ({_BM25})) QUALIFY rank <= 50),
-v AS (SELECT query, vec_id AS key, row_number() OVER (PARTITION BY query ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings, {_QS} QUALIFY rank <= 50)
-SELECT query, key, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query, key, rank FROM l, (SELECT query FROM {_QS}) UNION ALL SELECT * FROM v) GROUP BY 1, 2""")
-def hybrid_search_all(spark, d):
-    lexical = R.ranked(_bm25(spark, d), "score", "doc_id", 50).select(F.col("doc_id").alias("key"), "rank")
-    dense = R.batch_scores(vectors(spark, d), "vec_id", "embedding", _queries(spark, d), k=50).select("query", "key", "rank")
-    every = vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"))
-    both = every.crossJoin(F.broadcast(lexical)).unionByName(dense)
-    return both.groupBy("query", "key").agg(F.round(F.sum(1.0 / (R.RRF_K + F.col("rank"))), 9).alias("score"))
-
-
 @query(f"""WITH r AS (SELECT query, own, label, row_number() OVER (PARTITION BY query ORDER BY {_COS} DESC, vec_id) AS rank FROM embeddings, {_QS} QUALIFY rank <= 10),
 w AS (SELECT label AS own, count(*) AS wanted FROM embeddings GROUP BY 1), h AS (SELECT query, own, count(*) FILTER (label = own) AS hits, min(rank) FILTER (label = own) AS first FROM r GROUP BY ALL)
 SELECT avg(hits / wanted) AS recall, avg(hits / 10) AS precision, avg(coalesce(1 / first, 0)) AS mrr, count(*) AS queries FROM h JOIN w USING (own)""")
-def retrieval_quality_all(spark, d):
+def retrieval_quality(spark, d):
     v = vectors(spark, d)
-    results = R.batch_scores(v, "vec_id", "embedding", _queries(spark, d), k=10)
+    results = _scored(spark, d, k=10)
     own = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label")
     return R.quality(results, own.join(v.select("label", F.col("vec_id").alias("key")), "label").select("query", "key"), 10)
 
@@ -203,7 +195,12 @@ def text_sizes(spark, d):
     return docs(spark, d).select("doc_id", X.truncate(c, 80).alias("short"), F.octet_length(c).cast("long").alias("bytes"), F.expr("char_length(text) div 4").alias("about_tokens"))
 
 
-@query("SELECT split_part(c, ' ', 1) AS tool, CASE WHEN split_part(c, ' ', 1) LIKE 'mcp\\_\\_%' ESCAPE '\\' THEN 'mcp' WHEN split_part(c, ' ', 1) IN ('bash','batch') THEN 'shell' WHEN split_part(c, ' ', 1) IN ('edit','write','apply_patch','multiedit') THEN 'edit' WHEN split_part(c, ' ', 1) IN ('agentgrep','grep','glob') THEN 'search' WHEN split_part(c, ' ', 1) IN ('read','ls') THEN 'read' WHEN split_part(c, ' ', 1) IN ('webfetch','websearch','browser') THEN 'web' WHEN split_part(c, ' ', 1) = 'memory' THEN 'memory' WHEN split_part(c, ' ', 1) IN ('todo','plan') THEN 'plan' WHEN split_part(c, ' ', 1) = 'send_email' THEN 'mail' ELSE 'other' END AS category, count(*) AS n FROM (SELECT unnest(tool_calls) AS c FROM display_messages) GROUP BY ALL")
+def _classes_sql() -> str:
+    cases = " ".join(f"WHEN tool IN ({', '.join(repr(t) for t in tools)}) THEN '{name}'" for name, tools in X.TOOL_CLASSES.items())
+    return f"SELECT tool, CASE WHEN starts_with(tool, 'mcp__') THEN 'mcp' {cases} ELSE 'other' END AS category, count(*) AS n FROM (SELECT split_part(unnest(tool_calls), ' ', 1) AS tool FROM display_messages) GROUP BY ALL"
+
+
+@query(_classes_sql())
 def tool_categories(spark, d):
     tool = F.split(F.col("c"), " ")[0]
     c = table(spark, d, "display_messages").select(F.explode("tool_calls").alias("c"))

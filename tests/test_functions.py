@@ -145,8 +145,8 @@ def test_links_of_all_customers(spark, tmp_path):
         for a, b in links:
             reach[a] |= reach[b]
     want = {(a, max(b for b in reach[a] if a in reach[b])) for a in nodes}
-    assert {(x["node"], x["component"]) for x in graphs.strong_components_all(spark, str(tmp_path)).collect()} == want
-    mutual = {(x["src"], x["dst"]) for x in graphs.mutual_links_all(spark, str(tmp_path)).collect()}
+    assert {(x["node"], x["component"]) for x in graphs.strong_components(spark, str(tmp_path)).collect()} == want
+    mutual = {(x["src"], x["dst"]) for x in graphs.mutual_links(spark, str(tmp_path)).collect()}
     assert mutual == {(a, b) for a, b in links if a < b and (b, a) in links}
     assert max(a for a, _ in want) >= 97 and any(a != c for a, c in want)
 
