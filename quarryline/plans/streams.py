@@ -78,3 +78,26 @@ def latest_upload(spark, d):
 @query("SELECT DISTINCT event_id FROM web_details WHERE event_id NOT IN (SELECT event_id FROM install_details WHERE event_id IS NOT NULL) AND event_id IS NOT NULL")
 def insert_if_new(spark, d):
     return S.insert_new(table(spark, d, "install_details"), table(spark, d, "web_details").where("event_id IS NOT NULL").select("event_id"), "event_id")
+
+
+@query("""SELECT session_id, turn, count(*) AS events, sum(coalesce(tool_calls, 0))::BIGINT AS tools, max(created_at) AS last_at FROM (SELECT *, coalesce(count(*) FILTER (event = 'turn_end') OVER (PARTITION BY session_id ORDER BY created_at NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn
+FROM telemetry_events WHERE session_id IS NOT NULL) GROUP BY 1, 2""")
+def turn_totals(spark, d):
+    return E.turn_totals(table(spark, d, "telemetry_events"))
+
+
+@query("""WITH k AS (SELECT telemetry_id, event, row_number() OVER (PARTITION BY telemetry_id ORDER BY created_at NULLS FIRST, id) AS nth FROM telemetry_events)
+SELECT telemetry_id, string_agg(event, ',' ORDER BY nth) FILTER (nth <= 64) AS steps, max(nth) > 64 AS truncated FROM k GROUP BY 1""")
+def bounded_traces(spark, d):
+    return E.bounded_traces(table(spark, d, "telemetry_events"), "telemetry_id").select("telemetry_id", F.array_join("steps", ",").alias("steps"), "truncated")
+
+
+_HALVED = "CASE event " + " ".join(f"WHEN '{k}' THEN {v // 2 if v else 'NULL'}" for k, v in E.RETENTION_DAYS.items()) + " ELSE 30 END"
+
+
+@query(f"SELECT event, count(*) AS n FROM telemetry_events WHERE date_diff('day', created_at::DATE, {REF}::DATE) > {_HALVED} GROUP BY 1")
+def emergency_prune(spark, d):
+    """Rows to drop when the store is beyond its limit: all windows are halved."""
+    e = table(spark, d, "telemetry_events")
+    days = E.emergency_days(E.RETENTION_DAYS, 5_000_000_000, 4_500_000_000)
+    return E.expired(e, ref_ts(e), days, 30).groupBy("event").agg(F.count("*").alias("n"))

@@ -40,19 +40,75 @@ def windowed_counts(events: DataFrame, delay: str = "2 days", width: str = "1 da
 
 
 def rollup_sink(target: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: merges each micro-batch into the rollup table; versions replace each other as a whole.
+    """foreachBatch: each micro-batch leaves its own increment of the rollup, under its number.
 
-    A batch delivered twice after a failure writes the same version again: its number is the version.
+    A batch writes what it touched and nothing else; delivered twice after a failure it replaces its own increment.
+    Increments merge in any order (`read_rollup`), and `compact_rollup` folds those up to a number into one.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = daily_rollup(batch)
-        if number:
-            fresh = merge_rollups(spark.read.parquet(f"{target}/v{number - 1}"), fresh)
-        fresh.write.mode("overwrite").parquet(f"{target}/v{number}")
+    def write(batch: DataFrame, number: int) -> None:
+        daily_rollup(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return merge
+    return write
+
+
+def read_rollup(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rollup of all increments; None where there are none."""
+    if not spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(target)):
+        return None
+    every = spark.read.option("basePath", target).parquet(f"{target}/batch=*").drop("batch")
+    return merge_rollups(every, every.limit(0))
+
+
+def compact_rollup(spark: SparkSession, target: str, upto: int) -> None:
+    """Folds increments up to a number into that one: no batch up to it may come again (its offsets are committed)."""
+    every = spark.read.option("basePath", target).parquet(f"{target}/batch=*").where(F.col("batch") <= upto).drop("batch")
+    cut(merge_rollups(every, every.limit(0))).write.mode("overwrite").parquet(f"{target}/batch={upto}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path(target)):
+        number = status.getPath().getName().removeprefix("batch=")
+        if number.isdigit() and int(number) < upto:
+            fs.delete(status.getPath(), True)
+
+
+def dual_sink(firehose: str, store: Callable[[DataFrame, int], None], failed: Callable[[int, Exception], None]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: every batch to the firehose first, then to the store; a store that fails is reported and the stream
+    goes on, as the firehose has the rows. A batch delivered twice replaces its own part of the firehose."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{firehose}/batch={number}")
+        try:
+            store(batch.sparkSession.read.parquet(f"{firehose}/batch={number}"), number)
+        except Exception as error:  # whatever the store raises: the rows are safe
+            failed(number, error)
+
+    return write
+
+
+ENDS = ["session_end", "session_crash"]
+SESSION = ["session_id", "events", "turns", "tools", "closed_by"]
+
+
+def fold_sessions(key: str, rows: pd.DataFrame, held: tuple[int, int, int]) -> tuple[pd.DataFrame, tuple[int, int, int]]:
+    """Closed sessions of one id and what stays open, from its new rows and what was held open before.
+
+    Rows in order of time form stretches: a start begins one, an end or crash closes it. All counts are grouped sums.
+    """
+    rows = rows.sort_values(["created_at", "id"], kind="stable")
+    ends = rows["event"].isin(ENDS)
+    begins = rows["event"].eq("session_start") | ends.shift(fill_value=False)
+    own = pd.DataFrame({"stretch": begins.cumsum(), "turns": rows["event"].eq("turn_end"), "tools": rows["tool_calls"].fillna(0), "end": rows["event"].where(ends)})
+    per = own.groupby("stretch").agg(events=("turns", "size"), turns=("turns", "sum"), tools=("tools", "sum"), end=("end", "last")).astype({"turns": "int64", "tools": "int64"})
+    if held[0]:
+        first = per.loc[0] if 0 in per.index else pd.Series({"events": 0, "turns": 0, "tools": 0, "end": None})
+        per.loc[0] = [first["events"] + held[0], first["turns"] + held[1], first["tools"] + held[2], first["end"]]
+        per = per.sort_index()
+    closed = per["end"].notna() | (per.index < per.index.max())
+    done = per[closed].assign(session_id=key)
+    done["closed_by"] = done["end"].fillna("superseded")
+    left = per[~closed]
+    return done[SESSION], tuple(int(x) for x in left.iloc[0][["events", "turns", "tools"]]) if len(left) else (0, 0, 0)
 
 
 def sessions(events: DataFrame, timeout_ms: int = 3_600_000, delay: str = "2 days") -> DataFrame:
@@ -62,30 +118,18 @@ def sessions(events: DataFrame, timeout_ms: int = 3_600_000, delay: str = "2 day
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            n, turns, tools = state.get
+            yield pd.DataFrame([(key[0], *state.get, "silence")], columns=SESSION)
             state.remove()
-            yield pd.DataFrame([(key[0], n, turns, tools, "silence")], columns=["session_id", "events", "turns", "tools", "closed_by"])
             return
-        n, turns, tools = state.get if state.exists else (0, 0, 0)
-        last, done = pd.Timestamp(0), []
-        for b in batches:
-            for r in b.sort_values(["created_at", "id"]).itertuples():
-                if r.event == "session_start" and n:
-                    done.append((key[0], n, turns, tools, "superseded"))
-                    n = turns = tools = 0
-                n, turns, tools = n + 1, turns + (r.event == "turn_end"), tools + (0 if pd.isna(r.tool_calls) else int(r.tool_calls))
-                if r.event in ("session_end", "session_crash"):
-                    done.append((key[0], n, turns, tools, r.event))
-                    n = turns = tools = 0
-                last = max(last, r.at)
-        if n:
-            state.update((n, turns, tools))
-            silent = int(last.timestamp() * 1000) + timeout_ms
+        rows = pd.concat(list(batches))
+        done, held = fold_sessions(key[0], rows, state.get if state.exists else (0, 0, 0))
+        if held[0]:
+            state.update(held)
+            silent = int(rows["at"].max().timestamp() * 1000) + timeout_ms
             state.setTimeoutTimestamp(max(silent, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        if done:
-            yield pd.DataFrame(done, columns=["session_id", "events", "turns", "tools", "closed_by"])
+        yield done
 
     own = events.select("session_id", "id", "event", "created_at", "tool_calls", F.col("created_at").cast("timestamp").alias("at")).withWatermark("at", delay)
     return own.groupBy("session_id").applyInPandasWithState(fold, out, "n long, turns long, tools long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -114,6 +158,29 @@ def whole_sessions(events: DataFrame, timeout_ms: int = 3_600_000, delay_ms: int
     return both.where("closed_by IS NOT NULL").select("session_id", "events", "turns", "tools", "closed_by")
 
 
+def turn_totals(events: DataFrame) -> DataFrame:
+    """session_id, turn, events, tools, last_at: accumulators per turn; a turn_end closes a turn, from 0 on."""
+    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_last("created_at"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    turn = F.coalesce(F.sum(F.when(F.col("event") == "turn_end", 1).otherwise(0)).over(w), F.lit(0))
+    own = events.where("session_id IS NOT NULL").withColumn("turn", turn)
+    return own.groupBy("session_id", "turn").agg(F.count("*").alias("events"), F.sum(F.coalesce("tool_calls", F.lit(0))).alias("tools"), F.max("created_at").alias("last_at"))
+
+
+def bounded_traces(events: DataFrame, key: str, most: int = 64) -> DataFrame:
+    """Steps of each key in order, the first `most` of them, and whether there were more.
+
+    Only the first rows of a key are gathered, so a key on a third of all rows costs no more than any other.
+    """
+    w = Window.partitionBy(key).orderBy("created_at", "id")
+    kept = events.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most + 1)
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", "event")))), lambda x: x["event"]).alias("steps"), (F.count("*") > most).alias("truncated"))
+
+
+def emergency_days(days: dict[str, int | None], stored: int, limit: int) -> dict[str, int | None]:
+    """Retention halved where the store is beyond its soft limit."""
+    return {k: v if v is None or stored <= limit else v // 2 for k, v in days.items()}
+
+
 def expired(events: DataFrame, now, days: dict[str, int | None] = RETENTION_DAYS, otherwise: int = 60) -> DataFrame:
     """Rows past the retention of their kind."""
     limit = F.when(F.col("event").isin([k for k, v in days.items() if v is None]), F.lit(None).cast("int"))
@@ -153,11 +220,5 @@ def run_rollup(stream: DataFrame, folder: str) -> DataFrame:
     name = f"{folder}/{uuid.uuid4().hex}"
     query = stream.writeStream.foreachBatch(rollup_sink(f"{name}/rollup")).option("checkpointLocation", f"{name}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    spark = stream.sparkSession
-    while last >= 0:
-        try:
-            return spark.read.parquet(f"{name}/rollup/v{last}")
-        except Exception:  # the last batch may have had no rows to write
-            last -= 1
-    return cut(daily_rollup(spark.createDataFrame([], stream.schema)))
+    found = read_rollup(stream.sparkSession, f"{name}/rollup")
+    return daily_rollup(stream.sparkSession.createDataFrame([], stream.schema)) if found is None else found
