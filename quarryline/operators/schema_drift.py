@@ -1,11 +1,15 @@
 """Schemas that drift between files: every change reported, every file read into one table.
 
-Each file's schema is a tree of keys, every node with its type and counts of its content. Neighbouring files of a feed
-are compared as trees: a path on both sides costs nothing (or a retype); the rest is matched by least total cost, where a rename or move costs the dissimilarity of two subtrees and an addition or removal a constant, so unlike
-fields are rather removed and added. The script's renames compile into a projection per file, applied to its rows.
+Each file's schema is a tree of keys, every node with its type. Neighbouring files of a feed are compared as unordered trees
+and the least-cost edit script is found: a path on both sides costs nothing (or a retype); of what is left, nodes are
+paired across the trees by an exact assignment, where a rename or a move costs the dissimilarity of two subtrees and an
+addition or a removal a constant, so unlike fields are rather removed and added. The dissimilarity of two objects is their
+tree edit distance: their children are again assigned exactly, and so on down to fields, which are compared by what they
+hold. The script's renames compile into a projection per file, applied to its rows.
 
-Occurrences, types and content cover every readable row. A node's content is the count of each of its values (of arrays:
-of each item), whole values known by their hash, shape and number; counts add up, so any partitioning gives the same.
+A first pass reads only paths and types of every row (`outline`). Files whose tree lost or won fields then get a second one,
+over just those fields: counts of every value of every row (of arrays: of each item), values known by hash, shape and
+number. Counts add up, so any partitioning gives the same; fields that stay where they are send no content anywhere.
 
 Unreadable lines, lines that aren't objects, nulls and repeated lines change nothing. A file without a readable object
 is no file. Empty tables give no rows.
@@ -27,12 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarryline.common import cut
+
 TYPES = ("string", "number", "boolean", "array", "object")
 #: Counted values that a task holds at most before it hands them on.
 HELD = 200_000
 #: Cost of an addition plus a removal; a rename must be cheaper.
 ADD_AND_REMOVE = 0.46
-PROFILE = "feed string, stream string, file_no int, path string, " + ", ".join(f"n_{t} long" for t in TYPES) + ", held array<struct<item:boolean,h:long,shape:long,digit:boolean,x:double,n:long>>, places array<struct<at:double,n:long>>"
+OUTLINE = "feed string, stream string, file_no int, path string, " + ", ".join(f"n_{t} long" for t in TYPES)
+CONTENT = "feed string, file_no int, path string, held array<struct<item:boolean,h:long,shape:long,digit:boolean,x:double,n:long>>, places array<struct<at:double,n:long>>"
 
 
 def type_name(value) -> str:
@@ -82,32 +89,61 @@ def _texts(value) -> Iterator[tuple[bool, str]]:
         yield False, value if isinstance(value, str) else json.dumps(value)
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    nodes: dict[tuple, tuple[Counter, Counter, Counter]] = {}
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each path of each file holds each type."""
+    nodes: dict[tuple, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(*key, *counts) for key, counts in nodes.items()]
+        nodes.clear()
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5]
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in OUTLINE.split(", ")])
+
+    for batch in batches:
+        for feed, stream, file_no, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            record = parse(body)
+            if record is None:
+                continue
+            for path, value, _ in _fields(record):
+                nodes.setdefault((feed, stream, file_no, path), [0] * 5)[TYPES.index(type_name(value))] += 1
+            if len(nodes) > HELD:
+                yield flush()
+    yield flush()
+
+
+def outline(raw: DataFrame) -> DataFrame:
+    """feed, file_no, path, stream and how often each type occurs there."""
+    own = raw.select("feed", "stream", "file_no", "body").mapInArrow(_outline, OUTLINE)
+    return own.groupBy("feed", "file_no", "path").agg(F.max("stream").alias("stream"), *(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the wanted paths of each row's file hold: counts of values and of places among the siblings."""
+    nodes: dict[tuple, tuple[Counter, Counter]] = {}
 
     def flush() -> pa.RecordBatch:
         held = pa.list_(pa.struct([("item", pa.bool_()), ("h", pa.int64()), ("shape", pa.int64()), ("digit", pa.bool_()), ("x", pa.float64()), ("n", pa.int64())]))
         places = pa.list_(pa.struct([("at", pa.float64()), ("n", pa.int64())]))
-        columns: list[list] = [[] for _ in range(11)]
-        for (feed, stream, file_no, path), (counts, values, at) in nodes.items():
+        columns: list[list] = [[] for _ in range(5)]
+        for (feed, file_no, path), (values, at) in nodes.items():
             content = [{"item": item, "h": h, "shape": shape, "digit": digit, "x": x, "n": n} for (item, (h, shape, digit, x)), n in values.items()]
-            row = [feed, stream, file_no, path, *(counts[t] for t in TYPES), content, [{"at": a, "n": n} for a, n in at.items()]]
-            for c, v in zip(columns, row, strict=True):
+            for c, v in zip(columns, (feed, file_no, path, content, [{"at": a, "n": n} for a, n in at.items()]), strict=True):
                 c.append(v)
         nodes.clear()
-        types = [pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5, held, places]
-        names = [f.split()[0] for f in PROFILE.split(", ")[:9]] + ["held", "places"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        types = [pa.string(), pa.int32(), pa.string(), held, places]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["feed", "file_no", "path", "held", "places"])
 
     size = 0
     for batch in batches:
-        for feed, stream, file_no, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            record = parse(body)
+        for feed, file_no, body, paths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            record, wanted = parse(body), set(paths)
             if record is None:
                 continue
             for path, value, at in _fields(record):
-                counts, values, places = nodes.setdefault((feed, stream, file_no, path), (Counter(), Counter(), Counter()))
-                counts[type_name(value)] += 1
+                if path not in wanted:
+                    continue
+                values, places = nodes.setdefault((feed, file_no, path), (Counter(), Counter()))
                 before = len(values)
                 for item, text in _texts(value):
                     values[item, _about(text)] += 1
@@ -119,14 +155,15 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def profiles(raw: DataFrame) -> DataFrame:
-    """One row per (feed, file, path): how often each type, value and place among its siblings occurs."""
-    own = raw.select("feed", "stream", "file_no", "body")
-    return (
-        own.mapInArrow(_profile, PROFILE)
-        .groupBy("feed", "file_no", "path")
-        .agg(F.max("stream").alias("stream"), *(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES), *(F.flatten(F.collect_list(c)).alias(c) for c in ("held", "places")))
-    )
+def contents(raw: DataFrame, wanted: DataFrame) -> DataFrame:
+    """feed, file_no, path, held, places of the wanted (feed, file_no, path).
+
+    The wanted paths of a file are one row; Spark sends that table to all tasks where it is small, and joins by file where
+    it isn't.
+    """
+    per = wanted.groupBy("feed", "file_no").agg(F.collect_set("path").alias("paths"))
+    own = raw.select("feed", F.col("file_no").cast("int").alias("file_no"), "body").join(per, ["feed", "file_no"]).select("feed", "file_no", "body", "paths")
+    return own.mapInArrow(_counts, CONTENT).groupBy("feed", "file_no", "path").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("held", "places")))
 
 
 class Content:
@@ -169,9 +206,9 @@ class Node:
         self.counts = {t: row[f"n_{t}"] for t in TYPES}
         self.n = sum(self.counts.values())
         self.type = max(TYPES, key=lambda t: self.counts[t])
-        self.held = row["held"]
+        self.held = row.get("held") or []
         places: Counter = Counter()
-        for x in row["places"]:
+        for x in row.get("places") or []:
             places[x["at"]] += x["n"]
         self.at = _median(places)
 
@@ -223,11 +260,7 @@ def content(a: Node, b: Node, trees: tuple[dict, dict]) -> float:
     if a.type != b.type:
         return 0.0
     if a.type == "object":
-        kids = [{p[len(x.path) + 1 :]: n for p, n in t.items() if p.startswith(x.path + ".")} for x, t in ((a, trees[0]), (b, trees[1]))]
-        both = kids[0].keys() & kids[1].keys()
-        if not both:
-            return 0.0
-        return sum(content(kids[0][k], kids[1][k], trees) for k in both) / len(kids[0].keys() | kids[1].keys())
+        return 1 - tree_distance(a, b, trees)
     if a.type == "boolean":
         return 0.55
     x, y = a.content, b.content
@@ -238,6 +271,29 @@ def content(a: Node, b: Node, trees: tuple[dict, dict]) -> float:
     return _strings(x, y)
 
 
+def children(node: Node, tree: dict[str, Node]) -> dict[str, Node]:
+    return {n.name: n for n in tree.values() if n.parent == node.path}
+
+
+def tree_distance(a: Node, b: Node, trees: tuple[dict, dict]) -> float:
+    """Edit distance of two objects' subtrees, as a share of dropping one and building the other (0 to 1).
+
+    Children are matched at least total cost: those of one name stand for each other, others may be renamed (at half the
+    gain), and what is left is dropped or added; a pair of objects costs its own tree distance.
+    """
+    kids = [children(x, t) for x, t in ((a, trees[0]), (b, trees[1]))]
+    if not kids[0] or not kids[1]:
+        return 0.0 if not kids[0] and not kids[1] else 1.0
+    both = kids[0].keys() & kids[1].keys()
+    gain = sum(content(kids[0][k], kids[1][k], trees) for k in both)
+    rest = [{k: n for k, n in side.items() if k not in both} for side in kids]
+    costs = [(-g / 2, i, j) for i, x in rest[0].items() for j, y in rest[1].items() if names_alike(i, j) >= 0.5 and (g := content(x, y, trees)) > 0.5]
+    renamed = _assign(costs)
+    won = {(i, j): -c for c, i, j in costs}
+    gain += sum(won[p] for p in renamed)
+    return 1 - gain / (len(kids[0].keys() | kids[1].keys()) - len(renamed))
+
+
 def _words(name: str) -> set[str]:
     return {w for w in re.split(r"[_\W]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower()) if w}
 
@@ -362,27 +418,56 @@ def edit_script(before: dict[str, Node], after: dict[str, Node]) -> list[tuple[s
     return sorted(changes)
 
 
+def _sides(row: dict) -> list[dict[str, Node]]:
+    """The trees of the file before and of this one."""
+    return [{x["path"]: Node(x) for x in row["nodes"] if x["side"] == k} for k in (0, 1)]
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields whose content decides: those that only one of two neighbouring files has, if both have such."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for first in range(batch.num_rows):
+            r = batch.slice(first, 1).to_pylist()[0]
+            paths = [{x["path"] for x in r["nodes"] if x["side"] == k} for k in (0, 1)]
+            if paths[0] - paths[1] and paths[1] - paths[0]:
+                rows += [(r["feed"], r["before"], p) for p in paths[0] - paths[1]] + [(r["feed"], r["file_no"], p) for p in paths[1] - paths[0]]
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["feed", "file_no", "path"])
+
+
 def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = "feed stream file_no change_type field_path new_path old_type new_type".split()
     for batch in batches:
         rows: list[tuple] = []
-        for r in batch.to_pylist():
-            sides = [{x["path"]: Node(x) for x in r[side]} for side in ("before", "nodes")]
+        for first in range(batch.num_rows):  # one pair of files in Python at a time
+            r = batch.slice(first, 1).to_pylist()[0]
+            sides = _sides(r)
             rows += [(r["feed"], r["stream"], r["file_no"], *c, sides[0][c[1]].type if c[1] in sides[0] else None, sides[1][c[2] or c[1]].type if (c[2] or c[1]) in sides[1] else None) for c in edit_script(*sides)]
-        names = "feed stream file_no change_type field_path new_path old_type new_type".split()
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "file_no" else pa.string()) for c, n in zip(columns, names, strict=True)], names=names)
 
 
+def _neighbours(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """feed, file_no, before, stream, nodes: each file's fields (side 1) and those of the file before it (side 0).
+
+    pairs: feed, before, file_no. Fields meet by file, so a feed with a third of all files is many groups.
+    """
+    columns = [c for c in nodes.columns if c not in ("feed", "file_no", "stream")]
+    side = lambda on, k: nodes.withColumnRenamed("file_no", on).join(pairs, ["feed", on]).select("feed", "file_no", "before", F.when(F.lit(k == 1), F.col("stream")).alias("stream"), F.struct(F.lit(k).alias("side"), *columns).alias("node"))
+    both = side("before", 0).unionByName(side("file_no", 1))
+    return both.groupBy("feed", "file_no", "before").agg(F.max("stream").alias("stream"), F.collect_list("node").alias("nodes"))
+
+
 def changes(raw: DataFrame) -> DataFrame:
     """Every difference of a file from the file before it in its feed, with the types on both sides."""
-    fields = F.struct("path", *(f"n_{t}" for t in TYPES), "held", "places")
-    files = profiles(raw).groupBy("feed", "file_no").agg(F.max("stream").alias("stream"), F.collect_list(fields).alias("nodes"))
-    before = F.lag("nodes").over(Window.partitionBy("feed").orderBy("file_no"))
-    return (
-        files.withColumn("before", before)
-        .where("before is not null")
-        .mapInArrow(_scripts, "feed string, stream string, file_no int, change_type string, field_path string, new_path string, old_type string, new_type string")
-    )
+    tree = cut(outline(raw))
+    files = tree.select("feed", "file_no").distinct()
+    # Only numbers of files pass through the window of a feed.
+    pairs = cut(files.withColumn("before", F.lag("file_no").over(Window.partitionBy("feed").orderBy("file_no"))).where("before IS NOT NULL"))
+    wanted = cut(_neighbours(tree, pairs).mapInArrow(_wanted, "feed string, file_no int, path string").distinct())
+    nodes = tree.join(contents(raw, wanted), ["feed", "file_no", "path"], "left")
+    return _neighbours(nodes, pairs).mapInArrow(_scripts, "feed string, stream string, file_no int, change_type string, field_path string, new_path string, old_type string, new_type string")
 
 
 # -- one table per stream -----------------------------------------------------------------------------------------------
@@ -502,7 +587,7 @@ def unified_table(raw: DataFrame, stream: str, max_columns: int = 2000) -> DataF
     """
     own = raw.where(F.col("stream") == stream)
     names = projections(own)
-    scripted = profiles(own).join(names, ["feed", "file_no"], "left")
+    scripted = outline(own).join(names, ["feed", "file_no"], "left")
     kinds = (
         scripted.mapInArrow(_leaves, "path string, type string, n long")
         .groupBy("path", "type")
