@@ -231,3 +231,28 @@ def plan_quality(contents: Column, statuses: Column, calls: Column, debug: Colum
     base = F.when((meant == 0) | F.forall(filled, lambda x: F.char_length(x) <= 12), 0)
     base = base.when((n >= 3) & (length >= 35) & (specific >= 0.5), strong).when((n >= 2) & (length >= 20), fair).otherwise(weak)
     return F.least(F.lit(10), F.greatest(F.lit(0), base - F.when(F.coalesce(debug, F.lit(False)), 2).otherwise(0)))
+
+
+#: Kinds of people by their busiest hour: last hour of each (fixed values).
+CHRONOTYPES = [(4, "Nocturnal Hacker"), (8, "Early Bird"), (11, "Morning Person"), (16, "Afternoon Operator"), (20, "Evening Builder"), (23, "Night Owl")]
+
+
+def chronotype(hour: Column) -> Column:
+    out = F.when(hour.isNull(), None)
+    for last, name in CHRONOTYPES:
+        out = out.when(hour <= last, name)
+    return out
+
+
+#: Classes of an item's status (fixed values).
+STATUS = {
+    "completed": ["completed", "done"],
+    "terminal": ["completed", "done", "failed", "stopped", "crashed"],
+    "active": ["running", "running_stale"],
+    "failed": ["failed", "stopped", "crashed"],
+    "runnable": ["queued", "ready", "pending", "todo"],
+}
+
+
+def status_classes(c: Column) -> dict[str, Column]:
+    return {name: F.coalesce(c.isin(*values), F.lit(False)) for name, values in STATUS.items()}

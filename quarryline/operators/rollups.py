@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def flag(c: Column) -> Column:
     return F.when(c, 1).otherwise(0)
 
 
+#: What shows that a session that ended, or a turn, was used (fixed values).
+USED = {
+    "ended": "turns had_user_prompt had_assistant_response assistant_responses tool_calls executed_tool_calls duration_secs error_provider_timeout error_auth_failed error_tool_error error_mcp_error error_rate_limited provider_switches model_switches".split(),
+    "turn_end": "assistant_responses tool_calls executed_tool_calls file_write_calls tests_run turn_success".split(),
+}
+
+
+def meaningful_of(columns: list[str]) -> Column:
+    """Whether an event shows real activity, by all of the measures that the table has; null measures show none."""
+    any_ = lambda names: reduce(lambda a, n: a | (F.coalesce(F.col(n), F.lit(0)) > 0), [n for n in names if n in columns], F.lit(False))
+    return (F.col("event").isin(*ENDED) & any_(USED["ended"])) | ((F.col("event") == "turn_end") & any_(USED["turn_end"]))
+
+
 def meaningful(turns: str = "turns", tools: str = "tool_calls", secs: str = "duration_secs") -> Column:
     """Whether an event shows real activity; a null measure is none."""
     ended = F.col("event").isin(*ENDED) & ((F.col(turns) > 0) | (F.col(tools) > 0) | (F.col(secs) > 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +81,45 @@ def timeline(df: DataFrame, key: str, at: str, tie: str, cap_secs: float) -> Dat
     return own.withColumn("offset_secs", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
-    """sorted[round((n - 1) p)] per group, from counts per distinct value: no group is gathered in one place.
+#: Parts a group is cut into, by an approximate quantile sketch, before exact ranks are looked for in one of them.
+PARTS = 256
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys, n and the value at each zero-based rank (a function of n) among the group's values in order; exact.
 
-    A distinct value's rows share their rank interval, so the window runs over distinct values only.
+    No group is gathered: a mergeable sketch cuts each group into PARTS ranges of about equal size, counts per range tell
+    which of them holds a rank, and only the distinct values of those ranges are put in order, a range at a time. A value
+    repeated any number of times is one row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys)
-    upto = counts.withColumn("__upto", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
-    at = lambda p: F.floor((F.col("__all") - 1) * p + 0.5)
-    return upto.groupBy(*keys).agg(F.max("__all").alias("n"), *(F.min(F.when(F.col("__upto") > at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in ps))
+    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    cuts = [i / PARTS for i in range(1, PARTS)]
+    per = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", cuts, 2000).alias("__cuts"))
+    placed = own.join(per, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
+    # One row per distinct value, as everything after reads only those; counts add up before the shuffle.
+    counts = placed.groupBy(*keys, "__part", "__v").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
+    parts = counts.groupBy(*keys, "__part").agg(F.sum("__c").alias("__c"), F.first("__n").alias("__n"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("__before", before)  # at most PARTS rows a group
+    wanted = F.array(*(F.struct(F.lit(k).alias("name"), f(F.col("__n")).cast("long").alias("rank")) for k, f in ranks.items()))
+    inside = parts.withColumn("__w", F.filter(wanted, lambda w: (w["rank"] >= F.col("__before")) & (w["rank"] < F.col("__before") + F.col("__c")))).where(F.size("__w") > 0)
+    rows = counts.select(*keys, "__part", "__v", F.col("__c").alias("__m")).join(inside.select(*keys, "__part", "__before", "__w"), [*keys, "__part"])
+    upto = F.col("__before") + F.sum("__m").over(Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    hits = rows.withColumn("__upto", upto).select(*keys, "__v", F.explode(F.filter("__w", lambda w: (w["rank"] < F.col("__upto")) & (w["rank"] >= F.col("__upto") - F.col("__m")))).alias("__w"))
+    found = hits.groupBy(*keys).agg(*(F.max(F.when(F.col("__w.name") == k, F.col("__v"))).alias(k) for k in ranks))
+    return per.select(*keys, F.col("__n").alias("n")).join(found, keys)
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:
+    """sorted[round((n - 1) p)] per group."""
+    at = lambda p: lambda n: F.floor((n - 1) * p + 0.5)
+    return order_statistics(df, keys, value, {f"p{round(p * 100)}": at(p) for p in ps})
+
+
+def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: the middle value, or the mean of the two in the middle."""
+    both = order_statistics(df, keys, value, {"__low": lambda n: F.floor((n - 1) / 2), "__high": lambda n: F.floor(n / 2)})
+    return both.select(*keys, ((F.col("__low") + F.col("__high")) / 2).alias("median"))
 
 
 def series_stats(df: DataFrame, key: str, at: str, tie: str, value: str, width_ms: int) -> DataFrame:
@@ -106,3 +137,20 @@ def series_stats(df: DataFrame, key: str, at: str, tie: str, value: str, width_m
     spread = F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0)))
     variation = F.when(F.col("m") == 0, 0.0).otherwise(spread / F.nullif("m", F.lit(0.0)))
     return s.join(c, key).select(key, "events", "mean_chunk", "max_chunk", "mean_gap_ms", "max_gap_ms", "span_ms", F.round(variation, 6).alias("bucket_variation"), F.round(F.greatest(F.col("top"), F.lit(0.0)), 6).alias("bucket_max"))
+
+
+def safe_cuts(results: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """key, cut: the greatest place up to the wanted one where a sequence may be cut without parting a result from its call.
+
+    results: key, call (place of the call, null: there is none), place of the result, from 0 on. wanted: key, cut. Cutting
+    before place c parts a pair if call < c <= result; overlapping pairs are joined to stretches, and a cut within one
+    moves to its beginning (0 where a call is missing).
+    """
+    pairs = results.select(key, F.coalesce("call", F.lit(0)).cast("long").alias("a"), F.col("place").cast("long").alias("b")).where("a < b OR b = 0")
+    w = Window.partitionBy(key).orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("a") > reach, F.lit(True)).cast("int")
+    stretch = pairs.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = stretch.groupBy(key, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    inside = wanted.join(stretch, key).where((F.col("a") < F.col("cut")) & (F.col("cut") <= F.col("b"))).select(key, F.col("a").alias("moved"))
+    return wanted.join(inside, key, "left").select(key, F.coalesce("moved", "cut").alias("cut"))

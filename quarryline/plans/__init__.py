@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pipeline", "telemetry", "sessions", "search", "graphs", "streams", "sequences", "filters", "rules", "memory", "dashboards", "retrieval")
+MODULES = ("pipeline", "telemetry", "sessions", "search", "graphs", "streams", "sequences", "filters", "rules", "memory", "dashboards", "retrieval", "reports")
 
 
 def queries() -> dict:

@@ -160,10 +160,10 @@ def priority_ranks(spark, d):
 _NORMAL = "trim(regexp_replace(lower({}), '[\\s\\-_/\\\\.:]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {_NORMAL.format('left(text, 200)')} || ' ' || {_NORMAL.format('project')} AS searchable FROM documents WHERE {_NORMAL.format('left(text, 200)')} <> '' AND {_NORMAL.format('project')} <> ''")
+@query(f"SELECT doc_id, {_NORMAL.format('text')} || ' ' || {_NORMAL.format('project')} AS searchable FROM documents WHERE {_NORMAL.format('text')} <> '' AND {_NORMAL.format('project')} <> ''")
 def tagged_texts(spark, d):
-    """The opening of a document with its project as a tag, in search form."""
-    t = F.substring("text", 1, 200)
+    """A document with its project as a tag, in search form."""
+    t = F.col("text")
     return table(spark, d, "documents").select("doc_id", U.tagged_text(t, F.array("project", F.lit(" "))).alias("searchable"), X.search_normalise(t).alias("a"), X.search_normalise(F.col("project")).alias("b")).where("a <> '' AND b <> ''").drop("a", "b")
 
 
@@ -249,10 +249,10 @@ def message_titles(spark, d):
     return m.select("message_id", X.title_candidate(F.col("content")).alias("title")).where("title IS NOT NULL")
 
 
-@query("SELECT doc_id, strip_accents(text) AS plain FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*')")
+@query(f"SELECT doc_id, translate(text, '{''.join(x for x, _ in X.ACCENTED)}', '{''.join(y for _, y in X.ACCENTED)}') AS plain FROM documents")
 def unaccented(spark, d):
-    """Western texts without their accents, as the full-text index sees them."""
-    return table(spark, d, "documents").where(F.regexp_replace("text", r"[\x00-\x7fÀ-ÖØ-öø-ÿ]+", "") == "").select("doc_id", X.without_accents(F.col("text")).alias("plain"))
+    """Texts without the accents of Latin letters, as the full-text index sees them."""
+    return table(spark, d, "documents").select("doc_id", X.without_accents(F.col("text")).alias("plain"))
 
 
 @query("SELECT p_partkey, [(p_size - 1) % 5, 1]::BIGINT[] AS ranking FROM part WHERE (p_size - 1) % 5 <> 1")

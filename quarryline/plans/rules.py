@@ -199,21 +199,22 @@ def stranded_tasks(spark, d):
     return own.where("reclaims < 3").join(F.broadcast(alive), "worker", "left_anti").orderBy("rank", "id").limit(50).select("id")  # 20 workers
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, o_custkey AS c, o_custkey % 20 AS owner, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dep FROM orders), p AS (SELECT l_orderkey AS id, l_suppkey AS file FROM lineitem GROUP BY ALL),
-own AS (SELECT id, owner FROM i), carry AS (SELECT i.id, own.owner, count(*) AS points FROM i JOIN own ON i.dep = own.id GROUP BY ALL), f AS (SELECT t.id, owner, count(*) AS points FROM (SELECT * FROM p WHERE id < 50) t JOIN p o ON t.file = o.file AND t.id <> o.id JOIN own ON own.id = o.id GROUP BY ALL)
-SELECT id, owner, sum(points)::BIGINT AS points FROM (SELECT * FROM carry WHERE id < 50 UNION ALL SELECT * FROM f) GROUP BY ALL""")
+@query("""WITH i AS (SELECT o_orderkey AS id, o_custkey % 20 AS owner, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS dep FROM orders), p AS (SELECT DISTINCT l_orderkey AS id, l_suppkey AS file FROM lineitem),
+c AS (SELECT file, owner, count(*) AS n FROM p JOIN i USING (id) GROUP BY ALL), f AS (SELECT p.id, c.owner, sum(n - CASE WHEN c.owner = i.owner THEN 1 ELSE 0 END) AS points FROM p JOIN c USING (file) LEFT JOIN i ON i.id = p.id GROUP BY ALL)
+SELECT id, owner, sum(points)::BIGINT AS points FROM (SELECT a.id, b.owner, 1 AS points FROM i a JOIN i b ON a.dep = b.id UNION ALL SELECT * FROM f) GROUP BY ALL HAVING sum(points) > 0""")
 def assignment_affinity(spark, d):
-    """How close each worker is to the tasks being assigned (here those below 50): dependencies it owns, and files shared."""
+    """How close each worker is to each task: dependencies it owns, and files its other tasks share with it.
+
+    Files are reduced to one count per file and worker before tasks meet them, so tasks of a file aren't paired.
+    """
     from pyspark.sql import Window
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 20).alias("owner"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("dep"))
     files = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("file")).distinct()
-    # Tasks to assign are few: files are reduced to one count per (file, owner) before they meet them.
-    tasks = files.where("id < 50")
     per = files.join(o.select("id", "owner"), "id").groupBy("file", "owner").agg(F.count("*").alias("n"))
-    own = tasks.join(o.select("id", F.col("owner").alias("self")), "id", "left")
-    shared = own.join(per, "file").select("id", "owner", (F.col("n") - F.when(F.col("owner") == F.col("self"), 1).otherwise(0)).alias("points"))
-    deps = o.where("id < 50 AND dep IS NOT NULL").select("id", "dep").join(o.select(F.col("id").alias("dep"), "owner"), "dep").select("id", "owner", F.lit(1).cast("long").alias("points"))
+    own = files.join(o.select("id", F.col("owner").alias("self")), "id", "left")
+    shared = own.join(per, "file").groupBy("id", "owner").agg(F.sum(F.col("n") - F.when(F.col("owner") == F.col("self"), 1).otherwise(0)).alias("points"))
+    deps = o.where("dep IS NOT NULL").select("id", "dep").join(o.select(F.col("id").alias("dep"), "owner"), "dep").select("id", "owner", F.lit(1).cast("long").alias("points"))
     return shared.unionByName(deps).groupBy("id", "owner").agg(F.sum("points").alias("points")).where("points > 0")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.common import table
+from quarryline.functions import usage
 from quarryline.operators import series
 from quarryline.operators.rollups import flag
 
@@ -91,15 +92,16 @@ def nearest_rank_percentiles(spark, d):
 def value_summary(spark, d):
     v = F.col("value")
     variation = F.when((F.count(v) < 2) | (F.avg(v) == 0), 0.0).otherwise(F.stddev_pop(v) / F.nullif(F.avg(v), F.lit(0.0)))
-    return events(spark, d).groupBy("event_type").agg(F.median(v).alias("median"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sample_stdev"), variation.alias("variation"), (0.4 * F.avg(v) + 0.6 * F.min(v)).alias("composite"))
+    own = events(spark, d)
+    per = own.groupBy("event_type").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sample_stdev"), variation.alias("variation"), (0.4 * F.avg(v) + 0.6 * F.min(v)).alias("composite"))
+    return per.join(series.medians(own, ["event_type"], "value"), "event_type", "left")
 
 
-@query("SELECT h AS hour, coalesce(n, 0) AS events, CASE WHEN h BETWEEN 5 AND 11 THEN 'morning' WHEN h BETWEEN 12 AND 16 THEN 'afternoon' WHEN h BETWEEN 17 AND 21 THEN 'evening' ELSE 'night' END AS label FROM range(24) r(h) LEFT JOIN (SELECT hour(ts) AS hh, count(*) AS n FROM events GROUP BY 1) ON hh = h")
+@query("SELECT h AS hour, coalesce(n, 0) AS events, CASE WHEN h BETWEEN 5 AND 8 THEN 'Early Bird' WHEN h BETWEEN 9 AND 11 THEN 'Morning Person' WHEN h BETWEEN 12 AND 16 THEN 'Afternoon Operator' WHEN h BETWEEN 17 AND 20 THEN 'Evening Builder' WHEN h BETWEEN 21 AND 23 THEN 'Night Owl' ELSE 'Nocturnal Hacker' END AS label FROM range(24) r(h) LEFT JOIN (SELECT hour(ts) AS hh, count(*) AS n FROM events GROUP BY 1) ON hh = h")
 def hour_histogram(spark, d):
     counts = events(spark, d).groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("events"))
     hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
-    label = F.when(F.col("hour").between(5, 11), "morning").when(F.col("hour").between(12, 16), "afternoon").when(F.col("hour").between(17, 21), "evening").otherwise("night")
-    return hours.join(F.broadcast(counts), "hour", "left").select("hour", F.coalesce("events", F.lit(0)).alias("events"), label.alias("label"))  # 24 rows
+    return hours.join(F.broadcast(counts), "hour", "left").select("hour", F.coalesce("events", F.lit(0)).alias("events"), usage.chronotype(F.col("hour")).alias("label"))  # 24 rows
 
 
 @query("SELECT isodow(ts) - 1 AS weekday, count(*) AS events, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
@@ -137,12 +139,12 @@ def user_summary(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.sum(flag(is_("view"))).alias("views"), F.sum(flag(is_("purchase"))).alias("purchases"), F.min(F.when(is_("signup"), F.col("ts"))).alias("first_signup"), F.max(flag(is_("error"))).alias("had_error"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query("""WITH a AS (SELECT event_type, avg(value) AS m, count(*) AS n FROM events WHERE day(ts) <= 15 GROUP BY 1), b AS (SELECT event_type, avg(value) AS m, count(*) AS n FROM events WHERE day(ts) > 15 AND event_type <> 'view' GROUP BY 1)
+@query("""WITH a AS (SELECT event_type, avg(value) AS m, count(*) AS n FROM events WHERE day(ts) <= 15 GROUP BY 1), b AS (SELECT event_type, avg(value) AS m, count(*) AS n FROM events WHERE day(ts) > 15 GROUP BY 1)
 SELECT coalesce(a.event_type, b.event_type) AS event_type, a.n AS n_before, b.n AS n_after, round(b.m - a.m, 6) AS diff, CASE WHEN coalesce(a.n, 0) = 0 AND coalesce(b.n, 0) = 0 THEN 0 WHEN coalesce(a.n, 0) = 0 THEN 'inf'::DOUBLE ELSE 100.0 * (coalesce(b.n, 0) - a.n) / a.n END AS pct, coalesce(b.m < a.m * 0.99, false) AS regressed FROM a FULL JOIN b ON a.event_type = b.event_type""")
 def period_compare(spark, d):
     e = events(spark, d)
     side = lambda c, s: e.where(c).groupBy("event_type").agg(F.avg("value").alias(f"m_{s}"), F.count("*").alias(f"n_{s}"))
-    j = side(F.dayofmonth("ts") <= 15, "before").join(side((F.dayofmonth("ts") > 15) & (F.col("event_type") != "view"), "after"), "event_type", "full_outer")
+    j = side(F.dayofmonth("ts") <= 15, "before").join(side(F.dayofmonth("ts") > 15, "after"), "event_type", "full_outer")
     a, b = F.coalesce("n_before", F.lit(0)), F.coalesce("n_after", F.lit(0))
     pct = F.when((a == 0) & (b == 0), 0.0).when(a == 0, F.lit(float("inf"))).otherwise(100.0 * (b - a) / F.nullif(a, F.lit(0)))
     return j.select("event_type", "n_before", "n_after", F.round(F.col("m_after") - F.col("m_before"), 6).alias("diff"), pct.alias("pct"), F.coalesce(F.col("m_after") < F.col("m_before") * 0.99, F.lit(False)).alias("regressed"))
@@ -225,19 +227,3 @@ def session_style(spark, d):
 def log_inventory(spark, d):
     latest = F.max_by("sample_id", F.struct("received_at", "sample_id"))
     return table(spark, d, "memory_samples").groupBy("path").agg(F.count("*").alias("samples"), F.countDistinct("line_no").alias("lines"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"), latest.alias("last_sample"))
-
-
-def memory_series(spark, d):
-    """First, last, peak, net growth and share explained of the memory log's series, per log file."""
-    from quarryline.operators.nested_records import samples
-
-    m = table(spark, d, "memory_samples")
-    own = samples(m, "sample_id", "raw").join(m.select(F.col("sample_id").alias("record_id"), "path", "received_at"), "record_id").where("pss_bytes IS NOT NULL")
-    at = F.struct("received_at", "record_id")
-    return own.groupBy("path").agg(
-        F.min_by("pss_bytes", at).alias("first_pss"), F.max_by("pss_bytes", at).alias("last_pss"), F.max("pss_bytes").alias("peak_pss"), F.median("pss_bytes").alias("median_pss"),
-        F.sum(F.least("attributed_bytes", "pss_bytes")).alias("attributed"), F.round(F.sum("allocated_bytes") / F.nullif(F.sum("pss_bytes"), F.lit(0)), 6).alias("allocated_share"),
-    ).withColumn("net_growth", F.col("last_pss") - F.col("first_pss"))
-
-
-QUERIES["memory_series"] = memory_series

@@ -38,11 +38,16 @@ def stream_rollup(spark, d):
     return E.run_rollup(_stream(spark, d), shared_folder(spark))
 
 
+@query("""WITH o AS (SELECT session_id, id, event, created_at, tool_calls, coalesce(event IN ('session_end', 'session_crash'), false) AS ends FROM telemetry_events),
+b AS (SELECT *, coalesce(event = 'session_start', false) OR coalesce(lag(ends) OVER w, false) AS begins FROM o WINDOW w AS (PARTITION BY session_id ORDER BY created_at NULLS LAST, id)),
+s AS (SELECT *, sum(begins::INT) OVER (PARTITION BY session_id ORDER BY created_at NULLS LAST, id ROWS UNBOUNDED PRECEDING) AS stretch FROM b),
+p AS (SELECT session_id, stretch, count(*) AS events, count(*) FILTER (event = 'turn_end') AS turns, sum(coalesce(tool_calls, 0))::BIGINT AS tools, max(CASE WHEN ends THEN event END) AS closing, max(created_at) AS last FROM s GROUP BY 1, 2),
+q AS (SELECT *, lead(stretch) OVER (PARTITION BY session_id ORDER BY stretch) IS NOT NULL AS more FROM p)
+SELECT session_id, events, turns, tools, coalesce(closing, CASE WHEN more THEN 'superseded' WHEN coalesce(epoch_ms(last), 0) + 3600000 < (SELECT epoch_ms(max(created_at)) - 172800000 FROM telemetry_events) THEN 'silence' END) AS closed_by FROM q WHERE closed_by IS NOT NULL""")
 def stream_sessions(spark, d):
     return E.run_sessions(_stream(spark, d), shared_folder(spark))
 
 
-QUERIES["stream_sessions"] = stream_sessions
 
 
 @query(f"SELECT event, count(*) AS expired FROM (SELECT event, date_diff('day', created_at::DATE, {REF}::DATE) AS age FROM telemetry_events) WHERE age > CASE event WHEN 'turn_end' THEN 30 WHEN 'session_start' THEN 90 WHEN 'session_end' THEN 90 WHEN 'session_crash' THEN 180 WHEN 'web_pageview' THEN 90 WHEN 'web_vital' THEN 30 WHEN 'web_error' THEN 90 WHEN 'install' THEN 1000000 WHEN 'feedback' THEN 365 ELSE 60 END GROUP BY 1")

@@ -33,6 +33,27 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> tu
     return parsed.where(readable).select("path", "record.*"), parsed.where(~readable).select("path", "value")
 
 
+#: How a plain form of messages names its parts: session, role, text, time (JSON paths). Other assistants' own formats are
+#: read by `transcripts`.
+PLAIN = ("$.session_id", "$.role", "$.content", "$.timestamp")
+
+
+def messages(lines: DataFrame, paths: tuple[str, str, str, str] = PLAIN, value: str = "value") -> DataFrame:
+    """JSON lines as session_id, role, text, sent_at by the paths given; only user and assistant messages with text."""
+    parts = [F.get_json_object(value, p).alias(n) for p, n in zip(paths, ("session_id", "role", "text", "sent"), strict=True)]
+    own = lines.select(*parts).where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
+    return own.select("session_id", "role", "text", F.coalesce(F.try_to_timestamp("sent"), F.try_to_timestamp("sent", F.lit("yyyy-MM-dd"))).alias("sent_at"))
+
+
+def all_messages(sources: dict[str, DataFrame]) -> DataFrame:
+    """Messages of several plain sources, each under its name."""
+    out = None
+    for name, lines in sources.items():
+        own = messages(lines).withColumn("form", F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def log_lines(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """Fields of text log lines by regular expression (first group), null where a line has none."""
     fields = [F.nullif(F.regexp_extract("value", p, 1), F.lit("")).alias(n) for n, p in patterns.items()]
@@ -131,7 +152,7 @@ def replace_snapshot(df: DataFrame, path: str) -> None:
     name = uuid.uuid4().hex
     df.write.parquet(f"{path}/data-{name}")
     fs, new_path = _fs(spark, path)
-    draft = new_path(f"{path}/_current-{name}")
+    draft = new_path(f"{path}/draft-{name}")
     out = fs.create(draft)
     out.write(bytearray(f"data-{name}".encode()))
     out.close()
@@ -139,7 +160,7 @@ def replace_snapshot(df: DataFrame, path: str) -> None:
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
     overwrite = spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(draft), fs.makeQualified(new_path(f"{path}/_current")), overwrite)
+    context.rename(fs.makeQualified(draft), fs.makeQualified(new_path(f"{path}/current")), overwrite)
     for status in fs.listStatus(new_path(path)):
         kept = status.getPath().getName()
         if kept.startswith("data-") and kept != f"data-{name}" and (before is None or not before.endswith(kept)):
@@ -149,10 +170,10 @@ def replace_snapshot(df: DataFrame, path: str) -> None:
 def snapshot(spark: SparkSession, path: str) -> str | None:
     """Folder of the present snapshot, None if there is none."""
     fs, new_path = _fs(spark, path)
-    pointer = new_path(f"{path}/_current")
+    pointer = new_path(f"{path}/current")
     if not fs.exists(pointer):
         return None
-    return f"{path}/" + spark.read.text(f"{path}/_current").first()[0]
+    return f"{path}/" + spark.read.text(f"{path}/current").first()[0]
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import ASSIGNMENTS, MARK, SECRETS
+
 #: Block types that hold calls and results of tools (fixed values).
 TOOL_BLOCKS = ("tool_use", "tool_result", "function_call")
 
@@ -74,6 +77,45 @@ def result_text_of(c: Column) -> Column:
     return F.pandas_udf(lambda s: pd.Series([result_text(x) for x in s], dtype=object), "string")(c)
 
 
+def sensitive(key: str) -> bool:
+    """Whether a key of a JSON object names a secret, whatever its case and separators."""
+    k = "".join(c for c in key if c.isascii() and c.isalnum()).lower()
+    return "apikey" in k or "password" in k or k.endswith(("token", "secret")) or k in ("authorization", "cookie", "setcookie", "privatekey", "clientsecret")
+
+
+_SECRETS = [re.compile(p) for p in SECRETS], [re.compile(p) for p in ASSIGNMENTS]
+
+
+def redact_value(value):
+    """A JSON value with secrets in its strings and all values of sensitive keys replaced by a mark."""
+    if isinstance(value, str):
+        for p in _SECRETS[0]:
+            value = p.sub(MARK, value)
+        for p in _SECRETS[1]:
+            value = p.sub(lambda m: m.group(1) + MARK, value)
+        return value
+    if isinstance(value, list):
+        return [redact_value(v) for v in value]
+    if isinstance(value, dict):
+        return {k: MARK if sensitive(k) else redact_value(v) for k, v in value.items()}
+    return value
+
+
+def redact_json(text: str | None) -> str | None:
+    """JSON text redacted at any depth; other text as a string is."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+        return json.dumps(redact_value(value), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return redact_value(text)
+
+
+def redact_json_of(c: Column) -> Column:
+    return F.pandas_udf(lambda s: pd.Series([redact_json(x) for x in s], dtype=object), "string")(c)
+
+
 #: Of each form: which lines are messages, where role, content, id and time stand, the session's id, and header lines with it.
 FORMS = {
     "claude": {"is": "type IN ('user', 'assistant')", "role": ["$.message.role", "$.type"], "content": ["$.message.content"], "id": ["$.uuid"], "at": ["$.timestamp"], "session": ["$.sessionId"], "header": []},

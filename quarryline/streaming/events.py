@@ -98,7 +98,7 @@ def fold_sessions(key: str, rows: pd.DataFrame, held: tuple[int, int, int]) -> t
     rows = rows.sort_values(["created_at", "id"], kind="stable")
     ends = rows["event"].isin(ENDS)
     begins = rows["event"].eq("session_start") | ends.shift(fill_value=False)
-    own = pd.DataFrame({"stretch": begins.cumsum(), "turns": rows["event"].eq("turn_end"), "tools": rows["tool_calls"].fillna(0), "end": rows["event"].where(ends)})
+    own = pd.DataFrame({"stretch": begins.cumsum(), "turns": rows["event"].eq("turn_end"), "tools": pd.to_numeric(rows["tool_calls"]).fillna(0), "end": rows["event"].where(ends)})
     per = own.groupby("stretch").agg(events=("turns", "size"), turns=("turns", "sum"), tools=("tools", "sum"), end=("end", "last")).astype({"turns": "int64", "tools": "int64"})
     if held[0]:
         first = per.loc[0] if 0 in per.index else pd.Series({"events": 0, "turns": 0, "tools": 0, "end": None})

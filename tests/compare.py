@@ -30,7 +30,7 @@ def plain(v):
 
 
 def order(row):
-    return [(v is None, isinstance(v, str), v if v is not None and not isinstance(v, bool) else 0) for v in row]
+    return [(v is None, isinstance(v, str), int(v) if isinstance(v, bool) else v if v is not None else 0) for v in row]
 
 
 def same(x, y):
