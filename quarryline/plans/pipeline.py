@@ -67,6 +67,53 @@ def _table_sql(name: str) -> str:
     return f"{sql} SELECT sample_id AS record_id, '' AS parent_path, '{path}' AS child_path, -1 AS ordinal, {typed} FROM (SELECT sample_id, v AS o FROM {last}) WHERE json_type(o) = 'OBJECT'"
 
 
+_RECORDS = "recs AS (SELECT sample_id, " + _unquoted("v") + " AS v FROM (SELECT sample_id, CASE WHEN json_valid(ltrim(raw, chr(65279))) THEN ltrim(raw, chr(65279))::JSON END AS v FROM memory_samples))"
+#: Children of a JSON value: key (null in arrays), position, value.
+_CHILDREN = """unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {k: k, i: 0, c: json_extract(v, '$."' || k || '"')})
+ WHEN 'ARRAY' THEN list_transform(json_extract(v, '$[*]'), lambda c, i: {k: NULL::VARCHAR, i: i - 1, c: c}) END)"""
+P1_FOUND = f"""
+WITH RECURSIVE {_RECORDS}, kinds(field, v, inside) AS (
+  SELECT '', v, false FROM recs WHERE json_type(v) = 'OBJECT'
+  UNION ALL
+  SELECT CASE WHEN x.k IS NULL THEN field WHEN field = '' THEN x.k ELSE field || '.' || x.k END, {_unquoted("x.c")}, x.k IS NULL
+  FROM (SELECT field, {_CHILDREN} AS x FROM kinds WHERE json_type(v) IN ('OBJECT', 'ARRAY'))
+), lists AS (
+  SELECT DISTINCT field FROM kinds WHERE inside AND json_type(v) = 'OBJECT'
+), walk(sample_id, path, around, field, v, found) AS (
+  SELECT sample_id, '', '', '', v, false FROM recs WHERE json_type(v) = 'OBJECT'
+  UNION ALL
+  SELECT sample_id, CASE WHEN lone THEN path || '[0]' ELSE path END, around, field, v, lone OR (k IS NULL AND json_type(v) = 'OBJECT')
+  FROM (
+    SELECT *, k IS NOT NULL AND json_type(v) = 'OBJECT' AND field IN (SELECT field FROM lists) AS lone
+    FROM (
+      SELECT sample_id, x.k AS k, CASE WHEN x.k IS NULL THEN path || '[' || x.i || ']' WHEN path = '' THEN x.k ELSE path || '.' || x.k END AS path,
+             CASE WHEN found THEN path ELSE around END AS around, CASE WHEN x.k IS NULL THEN field WHEN field = '' THEN x.k ELSE field || '.' || x.k END AS field, {_unquoted("x.c")} AS v
+      FROM (SELECT *, {_CHILDREN} AS x FROM walk WHERE json_type(v) IN ('OBJECT', 'ARRAY'))
+    )
+  )
+)
+SELECT sample_id, around AS parent_path, path AS child_path FROM walk WHERE found
+"""
+
+
+def _samples_sql() -> str:
+    """Leading figures of each record; a part that is JSON text is read as if it weren't quoted."""
+    paths = {"rss_bytes": "process.rss_bytes", "pss_bytes": "process.os.pss_bytes", "allocated_bytes": "process.allocator.stats.allocated_bytes", "live_sessions": "sessions.live_count", "attributed_bytes": "totals.total_attributed_bytes", "timestamp_ms": "timestamp_ms"}
+    steps: dict[str, str] = {"": "v"}
+    sql, level = "WITH " + _RECORDS + ", o AS (SELECT sample_id, CASE WHEN json_type(v) = 'OBJECT' THEN v END AS v FROM recs)", 0
+    objects = sorted({p.rsplit(".", i)[0] for p in paths.values() for i in range(1, p.count(".") + 1)}, key=lambda x: x.count("."))
+    for name in objects:
+        parent, _, key = name.rpartition(".")
+        column, level = "o_" + name.replace(".", "_"), level + 1
+        value = f"json_extract({steps[parent]}, '$.{key}')"
+        sql = sql.replace("), o AS", "), o AS") + f", l{level} AS (SELECT *, {_unquoted(value)} AS {column} FROM {'o' if level == 1 else f'l{level - 1}'})"
+        steps[name] = column
+    number = lambda p: f"round(TRY_CAST(json_extract_string({steps[p.rpartition('.')[0]]}, '$.{p.rpartition('.')[2]}') AS DOUBLE))::BIGINT"
+    text = lambda k: f"CASE WHEN json_type(v, '$.{k}') = 'VARCHAR' THEN v->>'$.{k}' END"
+    fields = ", ".join(f"{number(p)} AS {n}" for n, p in paths.items())
+    return f"{sql} SELECT sample_id AS record_id, v IS NOT NULL AS readable, {text('source')} AS source, {text('kind')} AS kind, {fields} FROM l{level}"
+
+
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     raw = table(spark, sf_dir, "telemetry_events")
     # Types come from one narrow scan of all rows, before resends are left out: a resend is of its event's type.
@@ -179,4 +226,4 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_by_period": p6_by_period,
 }
-SQL = {f"p1_{n}": _table_sql(n) for n in TABLES} | {"p2_cells": P2_CELLS, "p6_found": P6_FOUND, "p6_by_period": P6_BY_PERIOD}
+SQL = {"p1_found": P1_FOUND, "p1_samples": _samples_sql()} | {f"p1_{n}": _table_sql(n) for n in TABLES} | {"p2_cells": P2_CELLS, "p6_found": P6_FOUND, "p6_by_period": P6_BY_PERIOD}

@@ -207,11 +207,20 @@ def tool_categories(spark, d):
     return c.groupBy(tool.alias("tool"), X.tool_category(tool).alias("category")).agg(F.count("*").alias("n"))
 
 
+def _redacted_sql() -> str:
+    out = "text"
+    for p in X.SECRETS:
+        out = f"regexp_replace({out}, '{p}', '{X.MARK}', 'g')"
+    for p in X.ASSIGNMENTS:
+        out = f"regexp_replace({out}, '{p}', '\\1{X.MARK}', 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
+
+
+@query(_redacted_sql())
 def redacted_documents(spark, d):
     return docs(spark, d).select("doc_id", X.redact_secrets(F.col("text")).alias("text"))
 
 
-QUERIES["redacted_documents"] = redacted_documents
 
 
 @query("SELECT event_id, (props->>'$.k')::INT AS k FROM events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,14 @@ def web(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "web_details")
 
 
+_clocks: WeakKeyDictionary[DataFrame, datetime.datetime | None] = WeakKeyDictionary()
+
+
 def ref_ts(events: DataFrame) -> Column:
-    """The data's own clock, as a literal."""
-    last: datetime.datetime | None = events.agg(F.max("received_at")).first()[0]
+    """The data's own clock, as a literal (so filters on it reach the scan); read once for a frame."""
+    if events not in _clocks:
+        _clocks[events] = events.agg(F.max("received_at")).first()[0]
+    last = _clocks[events]
     return F.lit(last).cast("timestamp_ntz") if last else F.lit(None).cast("timestamp_ntz")
 
 
