@@ -107,15 +107,16 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def orphan_references(
-    references: DataFrame, parents: DataFrame, deleted: DataFrame, ranges: int | None = None, hot_factor: float = 2.0
+    references: DataFrame, parents: DataFrame, deleted: DataFrame, ranges: int | None = None, hot_factor: float = 2.0, parent_rows: int | None = None
 ) -> DataFrame:
     """References whose key has no parent, a deleted parent, or a parent first received later than the record.
 
     references: target int, table_name, record_id, ref_field, key string, received_at. parents: target, key, received_at.
     deleted: target, key. `target` numbers the (table, column) pointed to. One row per distinct miss. The number of ranges
-    follows the parents, so that a range's sorted arrays stay within RANGE_ROWS keys (28 bytes each) in a task's memory.
+    follows the parents (`parent_rows`, where the caller knows them), so that a range's sorted arrays stay within RANGE_ROWS
+    keys (28 bytes each) in a task's memory.
     """
-    n = ranges or max(8, shuffle_width(references), -(-parents.count() // RANGE_ROWS))
+    n = ranges or max(8, shuffle_width(references), -(-(parents.count() if parent_rows is None else parent_rows) // RANGE_ROWS))
     digest = digest16(F.col("key"))
     at = F.pmod(F.conv(F.hex(F.substring(F.col("digest"), 1, 4)), 16, 10).cast("long") * F.lit(n) / F.lit(2**32), F.lit(n)).cast("int")
     none = lambda t: F.lit(None).cast(t)
@@ -141,12 +142,9 @@ def orphan_references(
     # Only ranges that are split stand in the plan; the others keep their number, copies follow all of them.
     split = {i: c for i, c in enumerate(copies) if c > 1}
     beyond = n + np.concatenate([[0], np.cumsum([c - 1 for c in split.values()])])
-    if split:
-        own = F.create_map(*(F.lit(x) for i, c, b in zip(split, split.values(), beyond.tolist(), strict=False) for x in (f"w{i}", c, f"b{i}", b)))
-        slot = F.col("slot").cast("string")
-        width, base = F.coalesce(own[F.concat(F.lit("w"), slot)], F.lit(1)), own[F.concat(F.lit("b"), slot)]
-    else:
-        width, base = F.lit(1), F.lit(0)
+    width, base = F.lit(1), F.lit(0)
+    for (i, c), b in zip(split.items(), beyond.tolist(), strict=False):
+        width, base = F.when(F.col("slot") == i, c).otherwise(width), F.when(F.col("slot") == i, b).otherwise(base)
     task = lambda k: F.when(k == 0, F.col("slot")).otherwise(base + k - 1).cast("int")
     built = built.select("*", F.explode(F.transform(F.sequence(F.lit(0), width - 1), task)).alias("task")).drop("slot")
     refs = refs.select("*", task(F.pmod(F.xxhash64("table_name", "record_id"), width)).alias("task")).drop("slot")
@@ -187,4 +185,5 @@ def telemetry_orphans(telemetry: DataFrame, web: DataFrame, install: DataFrame,
     )
     which = F.coalesce(*(F.when((F.col("table_name") == t) & (F.col("key_column") == c), F.lit(n)) for (t, c), n in TARGETS.items()))
     gone = deleted.select(which.alias("target"), uuid_key(F.col("key_value")).alias("key")).where("target is not null")
-    return orphan_references(refs, parents, gone)
+    # Row counts stand in the Parquet footers.
+    return orphan_references(refs, parents, gone, parent_rows=2 * telemetry.count() + web.count())

@@ -81,33 +81,30 @@ def timeline(df: DataFrame, key: str, at: str, tie: str, cap_secs: float) -> Dat
     return own.withColumn("offset_secs", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
 
 
-#: Parts a group is cut into, by an approximate quantile sketch, before exact ranks are looked for in one of them.
-PARTS = 256
+#: Parts a group's distinct values are cut into, by an approximate quantile sketch, before ranks are looked for in one.
+PARTS = 32
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """keys, n and the value at each zero-based rank (a function of n) among the group's values in order; exact.
 
-    No group is gathered: a mergeable sketch cuts each group into PARTS ranges of about equal size, counts per range tell
-    which of them holds a rank, and only the distinct values of those ranges are put in order, a range at a time. A value
-    repeated any number of times is one row.
+    No group is gathered: rows become counts per distinct value, a mergeable sketch cuts a group's values into PARTS
+    ranges, counts per range tell which of them holds a rank, and only the values of those ranges are put in order, a range
+    at a time. A value repeated any number of times is one row.
     """
-    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    cuts = [i / PARTS for i in range(1, PARTS)]
-    per = own.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", cuts, 2000).alias("__cuts"))
-    placed = own.join(per, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
-    # One row per distinct value, as everything after reads only those; counts add up before the shuffle.
-    counts = placed.groupBy(*keys, "__part", "__v").agg(F.count("*").alias("__c"), F.first("__n").alias("__n"))
-    parts = counts.groupBy(*keys, "__part").agg(F.sum("__c").alias("__c"), F.first("__n").alias("__n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    per = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], 1000).alias("__cuts"))
+    part = sum((F.when(F.col("__cuts")[i] < F.col("__v"), 1).otherwise(0) for i in range(PARTS - 1)), F.lit(0))
+    placed = counts.join(per, keys).select(*keys, "__v", "__c", "__n", part.alias("__part"))
+    parts = placed.groupBy(*keys, "__part").agg(F.sum("__c").alias("__c"), F.first("__n").alias("__n"))
     before = F.coalesce(F.sum("__c").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.withColumn("__before", before)  # at most PARTS rows a group
     wanted = F.array(*(F.struct(F.lit(k).alias("name"), f(F.col("__n")).cast("long").alias("rank")) for k, f in ranks.items()))
     inside = parts.withColumn("__w", F.filter(wanted, lambda w: (w["rank"] >= F.col("__before")) & (w["rank"] < F.col("__before") + F.col("__c")))).where(F.size("__w") > 0)
-    rows = counts.select(*keys, "__part", "__v", F.col("__c").alias("__m")).join(inside.select(*keys, "__part", "__before", "__w"), [*keys, "__part"])
+    rows = placed.select(*keys, "__part", "__v", F.col("__c").alias("__m")).join(inside.select(*keys, "__part", "__n", "__before", "__w"), [*keys, "__part"])
     upto = F.col("__before") + F.sum("__m").over(Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    hits = rows.withColumn("__upto", upto).select(*keys, "__v", F.explode(F.filter("__w", lambda w: (w["rank"] < F.col("__upto")) & (w["rank"] >= F.col("__upto") - F.col("__m")))).alias("__w"))
-    found = hits.groupBy(*keys).agg(*(F.max(F.when(F.col("__w.name") == k, F.col("__v"))).alias(k) for k in ranks))
-    return per.select(*keys, F.col("__n").alias("n")).join(found, keys)
+    hits = rows.withColumn("__upto", upto).select(*keys, "__n", "__v", F.explode(F.filter("__w", lambda w: (w["rank"] < F.col("__upto")) & (w["rank"] >= F.col("__upto") - F.col("__m")))).alias("__w"))
+    return hits.groupBy(*keys).agg(F.first("__n").alias("n"), *(F.max(F.when(F.col("__w.name") == k, F.col("__v"))).alias(k) for k in ranks))
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, ps: list[float]) -> DataFrame:

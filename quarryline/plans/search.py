@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -106,28 +109,35 @@ DIMENSIONS = 64
 
 
 def _bucket(w):
-    return F.conv(F.substring(F.md5(w.cast("binary")), 1, 2), 16, 10).cast("int") % DIMENSIONS
+    """Dimension of a word, by its first character and its length."""
+    return (F.ascii(w) * 31 + F.char_length(w)) % DIMENSIONS
 
 
 def hashed_cosine(documents, key: str, text: str, query: str):
     """key, score: cosine of the query's and the documents' word counts, words hashed to 64 dimensions.
 
-    Words are counted by dimension where they lie; a document sends one row of 64 counts on.
+    A document's words become dimensions in the scan and counts in the same task, batch by batch; nothing is shuffled.
     """
-    import hashlib
-    from collections import Counter
+    wanted = np.zeros(DIMENSIONS)
+    for t in X.query_terms(query):
+        wanted[(ord(t[0]) * 31 + len(t)) % DIMENSIONS] += 1
 
-    wanted = Counter(int(hashlib.md5(t.encode()).hexdigest()[:2], 16) % DIMENSIONS for t in X.query_terms(query))
-    words = documents.select(F.col(key).alias("key"), F.explode(X.tokens(F.col(text))).alias("w")).select("key", _bucket(F.col("w")).alias("b"))
-    counts = words.groupBy("key").agg(*(F.count_if(F.col("b") == i).alias(f"c{i}") for i in range(DIMENSIONS)))
-    norm = F.sqrt(sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(DIMENSIONS)), F.lit(0)).cast("double"))
-    hit = sum((F.col(f"c{i}") * n for i, n in wanted.items()), F.lit(0))
-    return counts.select("key", (hit / (norm * sum(n * n for n in wanted.values()) ** 0.5)).alias("score"))
+    def score(batches):
+        for batch in batches:
+            lists = batch.column("dims")
+            rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            counts = np.bincount(rows * DIMENSIONS + lists.flatten().to_numpy(zero_copy_only=False), minlength=len(lists) * DIMENSIONS).reshape(-1, DIMENSIONS)
+            norm = np.sqrt((counts * counts).sum(1)) * np.sqrt((wanted * wanted).sum())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array((counts @ wanted) / norm)], names=["key", "score"])
+
+    words = X.tokens(F.col(text))
+    own = documents.select(F.col(key).cast("long").alias("key"), F.transform(words, _bucket).alias("dims")).where(F.size("dims") > 0)
+    return own.mapInArrow(score, "key long, score double")
 
 
 _WORDS = "(SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM documents)"
-_HASHED = f"""(SELECT doc_id, round(sum(c * coalesce(n, 0)) / (sqrt(sum(c * c)) * sqrt((SELECT sum(n * n) FROM qv))), 9) AS score FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 2))::INT % 64 AS b, count(*) AS c FROM {_WORDS} GROUP BY ALL) LEFT JOIN qv USING (b) GROUP BY 1)"""
-_QV = "qv AS (SELECT ('0x' || substr(md5(w), 1, 2))::INT % 64 AS b, count(*) AS n FROM (SELECT unnest(['session', 'index', 'cache']) AS w) GROUP BY 1)"
+_HASHED = f"""(SELECT doc_id, round(sum(c * coalesce(n, 0)) / (sqrt(sum(c * c)) * sqrt((SELECT sum(n * n) FROM qv))), 9) AS score FROM (SELECT doc_id, (unicode(w) * 31 + length(w)) % 64 AS b, count(*) AS c FROM {_WORDS} GROUP BY ALL) LEFT JOIN qv USING (b) GROUP BY 1)"""
+_QV = "qv AS (SELECT (unicode(w) * 31 + length(w)) % 64 AS b, count(*) AS n FROM (SELECT unnest(['session', 'index', 'cache']) AS w) GROUP BY 1)"
 
 
 @query(f"""WITH {_QV}, l AS (SELECT doc_id AS key, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(score, 6) AS score FROM ({_BM25})) QUALIFY rank <= 50),
