@@ -7,9 +7,10 @@ addition or a removal a constant, so unlike fields are rather removed and added.
 tree edit distance: their children are again assigned exactly, and so on down to fields, which are compared by what they
 hold. The script's renames compile into a projection per file, applied to its rows.
 
-A first pass reads only paths and types of every row (`outline`). Files whose tree lost or won fields then get a second one,
-over just those fields: counts of every value of every row (of arrays: of each item), values known by hash, shape and
-number. Counts add up, so any partitioning gives the same; fields that stay where they are send no content anywhere.
+A first pass reads only paths and types of every row and packs them to one row per file (`trees`), with a digest: files
+with the digest of the one before are done. Of the others, fields that only one of the two has get a second pass: counts of
+every value of every row (of arrays: of each item), values known by hash, shape and number. Counts add up, so any
+partitioning gives the same; fields that stay where they are send no content anywhere.
 
 Unreadable lines, lines that aren't objects, nulls and repeated lines change nothing. A file without a readable object
 is no file. Empty tables give no rows.
@@ -38,8 +39,12 @@ TYPES = ("string", "number", "boolean", "array", "object")
 HELD = 200_000
 #: Cost of an addition plus a removal; a rename must be cheaper.
 ADD_AND_REMOVE = 0.46
-OUTLINE = "feed string, stream string, file_no int, path string, " + ", ".join(f"n_{t} long" for t in TYPES)
-CONTENT = "feed string, file_no int, path string, held array<struct<item:boolean,h:long,shape:long,digit:boolean,x:double,n:long>>, places array<struct<at:double,n:long>>"
+#: A file's fields: path, and how often each of TYPES occurs there.
+NODES = "array<struct<path:string,n:array<long>>>"
+OUTLINE = f"feed string, stream string, file_no int, nodes {NODES}"
+TREE = f"feed string, stream string, file_no int, digest long, nodes {NODES}"
+FIELD = "struct<path:string,held:array<struct<item:boolean,h:long,shape:long,digit:boolean,x:double,n:long>>,places:array<struct<at:double,n:long>>>"
+CONTENT = f"feed string, file_no int, fields array<{FIELD}>"
 
 
 def type_name(value) -> str:
@@ -89,50 +94,81 @@ def _texts(value) -> Iterator[tuple[bool, str]]:
         yield False, value if isinstance(value, str) else json.dumps(value)
 
 
-def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each path of each file holds each type."""
-    nodes: dict[tuple, list[int]] = {}
+_NODES = pa.list_(pa.struct([("path", pa.string()), ("n", pa.list_(pa.int64()))]))
 
-    def flush() -> pa.RecordBatch:
-        rows = [(*key, *counts) for key, counts in nodes.items()]
-        nodes.clear()
-        types = [pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5]
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in OUTLINE.split(", ")])
 
+def _packed(files: dict[tuple, dict[str, list[int]]]) -> pa.RecordBatch:
+    rows = [(*key, [{"path": p, "n": n} for p, n in nodes.items()]) for key, nodes in files.items()]
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    types = [pa.string(), pa.string(), pa.int32(), _NODES]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["feed", "stream", "file_no", "nodes"])
+
+
+def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields of each file in this task, how often each type occurs there."""
+    files: dict[tuple, dict[str, list[int]]] = {}
+    size = 0
     for batch in batches:
         for feed, stream, file_no, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             record = parse(body)
             if record is None:
                 continue
+            nodes = files.setdefault((feed, stream, file_no), {})
+            before = len(nodes)
             for path, value, _ in _fields(record):
-                nodes.setdefault((feed, stream, file_no, path), [0] * 5)[TYPES.index(type_name(value))] += 1
-            if len(nodes) > HELD:
-                yield flush()
-    yield flush()
+                nodes.setdefault(path, [0] * 5)[TYPES.index(type_name(value))] += 1
+            size += len(nodes) - before
+            if size > HELD:
+                yield _packed(files)
+                files, size = {}, 0
+    yield _packed(files)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each file's parts as one tree with the digest of its paths and types."""
+    for batch in batches:
+        files, digests = {}, []
+        for first in range(batch.num_rows):
+            r = batch.slice(first, 1).to_pylist()[0]
+            nodes: dict[str, list[int]] = {}
+            for x in r["nodes"]:
+                nodes[x["path"]] = [a + b for a, b in zip(nodes.get(x["path"], [0] * 5), x["n"], strict=True)]
+            files[r["feed"], r["stream"], r["file_no"]] = nodes
+            digests.append(_hash(json.dumps(sorted((p, n.index(max(n))) for p, n in nodes.items()))))
+        out = _packed(files)
+        yield pa.RecordBatch.from_arrays([*out.columns[:3], pa.array(digests, pa.int64()), out.columns[3]], names=["feed", "stream", "file_no", "digest", "nodes"])
+
+
+def trees(raw: DataFrame) -> DataFrame:
+    """One row per file: its stream, the digest of its paths and types, and its fields with the counts of their types."""
+    parts = raw.select("feed", "stream", F.col("file_no").cast("int").alias("file_no"), "body").mapInArrow(_outline, OUTLINE)
+    whole = parts.groupBy("feed", "file_no").agg(F.max("stream").alias("stream"), F.flatten(F.collect_list("nodes")).alias("nodes"))
+    return whole.select("feed", "stream", "file_no", "nodes").mapInArrow(_merged, TREE)
 
 
 def outline(raw: DataFrame) -> DataFrame:
     """feed, file_no, path, stream and how often each type occurs there."""
-    own = raw.select("feed", "stream", "file_no", "body").mapInArrow(_outline, OUTLINE)
-    return own.groupBy("feed", "file_no", "path").agg(F.max("stream").alias("stream"), *(F.sum(f"n_{t}").alias(f"n_{t}") for t in TYPES))
+    rows = trees(raw).select("feed", "file_no", "stream", F.inline("nodes"))
+    return rows.select("feed", "file_no", "path", "stream", *(F.col("n")[i].alias(f"n_{t}") for i, t in enumerate(TYPES)))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the wanted paths of each row's file hold: counts of values and of places among the siblings."""
-    nodes: dict[tuple, tuple[Counter, Counter]] = {}
+    files: dict[tuple, dict[str, tuple[Counter, Counter]]] = {}
+    held = pa.struct([("item", pa.bool_()), ("h", pa.int64()), ("shape", pa.int64()), ("digit", pa.bool_()), ("x", pa.float64()), ("n", pa.int64())])
+    fields = pa.list_(pa.struct([("path", pa.string()), ("held", pa.list_(held)), ("places", pa.list_(pa.struct([("at", pa.float64()), ("n", pa.int64())])))]))
 
     def flush() -> pa.RecordBatch:
-        held = pa.list_(pa.struct([("item", pa.bool_()), ("h", pa.int64()), ("shape", pa.int64()), ("digit", pa.bool_()), ("x", pa.float64()), ("n", pa.int64())]))
-        places = pa.list_(pa.struct([("at", pa.float64()), ("n", pa.int64())]))
-        columns: list[list] = [[] for _ in range(5)]
-        for (feed, file_no, path), (values, at) in nodes.items():
-            content = [{"item": item, "h": h, "shape": shape, "digit": digit, "x": x, "n": n} for (item, (h, shape, digit, x)), n in values.items()]
-            for c, v in zip(columns, (feed, file_no, path, content, [{"at": a, "n": n} for a, n in at.items()]), strict=True):
-                c.append(v)
-        nodes.clear()
-        types = [pa.string(), pa.int32(), pa.string(), held, places]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["feed", "file_no", "path", "held", "places"])
+        rows = []
+        for key, paths in files.items():
+            packed = [
+                {"path": p, "held": [{"item": item, "h": h, "shape": shape, "digit": digit, "x": x, "n": n} for (item, (h, shape, digit, x)), n in values.items()], "places": [{"at": a, "n": n} for a, n in at.items()]}
+                for p, (values, at) in paths.items()
+            ]
+            rows.append((*key, packed))
+        files.clear()
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), fields), strict=True)], names=["feed", "file_no", "fields"])
 
     size = 0
     for batch in batches:
@@ -140,10 +176,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             record, wanted = parse(body), set(paths)
             if record is None:
                 continue
+            nodes = files.setdefault((feed, file_no), {})
             for path, value, at in _fields(record):
                 if path not in wanted:
                     continue
-                values, places = nodes.setdefault((feed, file_no, path), (Counter(), Counter()))
+                values, places = nodes.setdefault(path, (Counter(), Counter()))
                 before = len(values)
                 for item, text in _texts(value):
                     values[item, _about(text)] += 1
@@ -156,14 +193,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contents(raw: DataFrame, wanted: DataFrame) -> DataFrame:
-    """feed, file_no, path, held, places of the wanted (feed, file_no, path).
+    """feed, file_no, fields: what the wanted paths (feed, file_no, path) hold, in as many parts as tasks saw of a file.
 
     The wanted paths of a file are one row; Spark sends that table to all tasks where it is small, and joins by file where
     it isn't.
     """
     per = wanted.groupBy("feed", "file_no").agg(F.collect_set("path").alias("paths"))
     own = raw.select("feed", F.col("file_no").cast("int").alias("file_no"), "body").join(per, ["feed", "file_no"]).select("feed", "file_no", "body", "paths")
-    return own.mapInArrow(_counts, CONTENT).groupBy("feed", "file_no", "path").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("held", "places")))
+    return own.mapInArrow(_counts, CONTENT).groupBy("feed", "file_no").agg(F.flatten(F.collect_list("fields")).alias("fields"))
 
 
 class Content:
@@ -199,18 +236,23 @@ def _median(counts: Counter) -> float:
 class Node:
     """A field of one file's schema."""
 
-    def __init__(self, row: dict) -> None:
-        self.path = row["path"]
-        self.name = self.path.rpartition(".")[2]
-        self.parent = self.path.rpartition(".")[0]
-        self.counts = {t: row[f"n_{t}"] for t in TYPES}
-        self.n = sum(self.counts.values())
-        self.type = max(TYPES, key=lambda t: self.counts[t])
-        self.held = row.get("held") or []
-        places: Counter = Counter()
-        for x in row.get("places") or []:
-            places[x["at"]] += x["n"]
-        self.at = _median(places)
+    def __init__(self, path: str, counts: list[int]) -> None:
+        self.path = path
+        self.parent, _, self.name = path.rpartition(".")
+        self.n = sum(counts)
+        self.type = TYPES[counts.index(max(counts))]
+        self.held: list[dict] = []
+        self.places: Counter = Counter()
+
+    def add(self, field: dict) -> None:
+        """What a part of the rows holds there."""
+        self.held += field["held"]
+        for x in field["places"]:
+            self.places[x["at"]] += x["n"]
+
+    @cached_property
+    def at(self) -> float:
+        return _median(self.places)
 
     @cached_property
     def content(self) -> Content:
@@ -418,9 +460,11 @@ def edit_script(before: dict[str, Node], after: dict[str, Node]) -> list[tuple[s
     return sorted(changes)
 
 
-def _sides(row: dict) -> list[dict[str, Node]]:
-    """The trees of the file before and of this one."""
-    return [{x["path"]: Node(x) for x in row["nodes"] if x["side"] == k} for k in (0, 1)]
+def _tree(nodes: list[dict], fields: list[dict] | None) -> dict[str, Node]:
+    tree = {x["path"]: Node(x["path"], x["n"]) for x in nodes}
+    for f in fields or ():
+        tree[f["path"]].add(f)
+    return tree
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,9 +473,9 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for first in range(batch.num_rows):
             r = batch.slice(first, 1).to_pylist()[0]
-            paths = [{x["path"] for x in r["nodes"] if x["side"] == k} for k in (0, 1)]
-            if paths[0] - paths[1] and paths[1] - paths[0]:
-                rows += [(r["feed"], r["before"], p) for p in paths[0] - paths[1]] + [(r["feed"], r["file_no"], p) for p in paths[1] - paths[0]]
+            old, new = ({x["path"] for x in r[side]} for side in ("old", "new"))
+            if old - new and new - old:
+                rows += [(r["feed"], r["before"], p) for p in old - new] + [(r["feed"], r["file_no"], p) for p in new - old]
         columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["feed", "file_no", "path"])
 
@@ -442,32 +486,31 @@ def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for first in range(batch.num_rows):  # one pair of files in Python at a time
             r = batch.slice(first, 1).to_pylist()[0]
-            sides = _sides(r)
-            rows += [(r["feed"], r["stream"], r["file_no"], *c, sides[0][c[1]].type if c[1] in sides[0] else None, sides[1][c[2] or c[1]].type if (c[2] or c[1]) in sides[1] else None) for c in edit_script(*sides)]
+            old, new = _tree(r["old"], r["old_fields"]), _tree(r["new"], r["new_fields"])
+            rows += [(r["feed"], r["stream"], r["file_no"], *c, old[c[1]].type if c[1] in old else None, new[c[2] or c[1]].type if (c[2] or c[1]) in new else None) for c in edit_script(old, new)]
         columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "file_no" else pa.string()) for c, n in zip(columns, names, strict=True)], names=names)
 
 
-def _neighbours(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """feed, file_no, before, stream, nodes: each file's fields (side 1) and those of the file before it (side 0).
+def changes(raw: DataFrame) -> DataFrame:
+    """Every difference of a file from the file before it in its feed, with the types on both sides.
 
-    pairs: feed, before, file_no. Fields meet by file, so a feed with a third of all files is many groups.
+    Only numbers and digests of files pass through the window of a feed; trees and contents meet by file, so a feed with a
+    third of all files is many groups.
     """
-    columns = [c for c in nodes.columns if c not in ("feed", "file_no", "stream")]
-    side = lambda on, k: nodes.withColumnRenamed("file_no", on).join(pairs, ["feed", on]).select("feed", "file_no", "before", F.when(F.lit(k == 1), F.col("stream")).alias("stream"), F.struct(F.lit(k).alias("side"), *columns).alias("node"))
-    both = side("before", 0).unionByName(side("file_no", 1))
-    return both.groupBy("feed", "file_no", "before").agg(F.max("stream").alias("stream"), F.collect_list("node").alias("nodes"))
-
-
-def changes(raw: DataFrame) -> DataFrame:
-    """Every difference of a file from the file before it in its feed, with the types on both sides."""
-    tree = cut(outline(raw))
-    files = tree.select("feed", "file_no").distinct()
-    # Only numbers of files pass through the window of a feed.
-    pairs = cut(files.withColumn("before", F.lag("file_no").over(Window.partitionBy("feed").orderBy("file_no"))).where("before IS NOT NULL"))
-    wanted = cut(_neighbours(tree, pairs).mapInArrow(_wanted, "feed string, file_no int, path string").distinct())
-    nodes = tree.join(contents(raw, wanted), ["feed", "file_no", "path"], "left")
-    return _neighbours(nodes, pairs).mapInArrow(_scripts, "feed string, stream string, file_no int, change_type string, field_path string, new_path string, old_type string, new_type string")
+    tree = cut(trees(raw))
+    w = Window.partitionBy("feed").orderBy("file_no")
+    pairs = tree.select("feed", "file_no", "digest").withColumn("before", F.lag("file_no").over(w)).withColumn("was", F.lag("digest").over(w))
+    pairs = pairs.where("before IS NOT NULL AND digest <> was").select("feed", "before", "file_no")
+    new = tree.select("feed", "file_no", "stream", F.col("nodes").alias("new"))
+    old = tree.select("feed", F.col("file_no").alias("before"), F.col("nodes").alias("old"))
+    both = cut(pairs.join(new, ["feed", "file_no"]).join(old, ["feed", "before"]))
+    wanted = both.select("feed", "before", "file_no", "old", "new").mapInArrow(_wanted, "feed string, file_no int, path string").distinct()
+    found = cut(contents(raw, wanted))
+    after = found.withColumnRenamed("fields", "new_fields")
+    prior = found.select("feed", F.col("file_no").alias("before"), F.col("fields").alias("old_fields"))
+    whole = both.join(after, ["feed", "file_no"], "left").join(prior, ["feed", "before"], "left")
+    return whole.mapInArrow(_scripts, "feed string, stream string, file_no int, change_type string, field_path string, new_path string, old_type string, new_type string")
 
 
 # -- one table per stream -----------------------------------------------------------------------------------------------
