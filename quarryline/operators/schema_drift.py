@@ -37,6 +37,8 @@ from quarryline.common import cut
 TYPES = ("string", "number", "boolean", "array", "object")
 #: Counted values that a task holds at most before it hands them on.
 HELD = 200_000
+#: Wanted paths that are sent to all tasks at most (some 20 MB).
+SENT = 200_000
 #: Cost of an addition plus a removal; a rename must be cheaper.
 ADD_AND_REMOVE = 0.46
 #: A file's fields: path, and how often each of TYPES occurs there.
@@ -195,10 +197,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contents(raw: DataFrame, wanted: DataFrame) -> DataFrame:
     """feed, file_no, fields: what the wanted paths (feed, file_no, path) hold, in as many parts as tasks saw of a file.
 
-    The wanted paths of a file are one row; Spark sends that table to all tasks where it is small, and joins by file where
-    it isn't.
+    The wanted paths of a file are one row; up to SENT paths are sent to all tasks, so that no row of the table moves, more
+    are joined by file.
     """
     per = wanted.groupBy("feed", "file_no").agg(F.collect_set("path").alias("paths"))
+    if wanted.count() <= SENT:
+        per = F.broadcast(per)
     own = raw.select("feed", F.col("file_no").cast("int").alias("file_no"), "body").join(per, ["feed", "file_no"]).select("feed", "file_no", "body", "paths")
     return own.mapInArrow(_counts, CONTENT).groupBy("feed", "file_no").agg(F.flatten(F.collect_list("fields")).alias("fields"))
 
@@ -506,6 +510,7 @@ def changes(raw: DataFrame) -> DataFrame:
     old = tree.select("feed", F.col("file_no").alias("before"), F.col("nodes").alias("old"))
     both = cut(pairs.join(new, ["feed", "file_no"]).join(old, ["feed", "before"]))
     wanted = both.select("feed", "before", "file_no", "old", "new").mapInArrow(_wanted, "feed string, file_no int, path string").distinct()
+    wanted = cut(wanted)
     found = cut(contents(raw, wanted))
     after = found.withColumnRenamed("fields", "new_fields")
     prior = found.select("feed", F.col("file_no").alias("before"), F.col("fields").alias("old_fields"))

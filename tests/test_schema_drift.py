@@ -93,3 +93,27 @@ def test_empty(spark):
     assert D.changes(none).count() == 0
     assert D.unified_table(none, "s").count() == 0
     assert D.changes(raw(spark, {1: ["", "{", None], 2: ["x"]})).count() == 0
+
+
+def test_many_wanted_paths_are_joined(spark, monkeypatch):
+    r = random.Random(5)
+    one = [record(r) for _ in range(12)]
+    two = [{("model_name" if k == "model" else k): v for k, v in record(r).items()} for _ in range(12)]
+    monkeypatch.setattr(D, "SENT", 0)
+    assert renamed(spark, one, two) == [("renamed", "model", "model_name")]
+
+
+def test_objects_by_tree_distance(spark):
+    """An object with a renamed field inside is still the same object under another name."""
+    r = random.Random(6)
+    box = lambda: {"width": r.randint(1, 900), "label": f"L-{r.randint(0, 9**6):06d}", "tags": r.sample(["red", "blue", "green", "grey"], 2), "on": r.random() < 0.5}
+    one = [{"id": f"s-{i:04d}", "box": box()} for i in range(30)]
+    two = [{"id": f"s-{i:04d}", "box_info": {("label_text" if k == "label" else k): v for k, v in box().items()}} for i in range(30)]
+    assert renamed(spark, one, two) == [("renamed", "box", "box_info")]
+
+
+def test_forty_renamed_fields(spark):
+    r = random.Random(7)
+    row = lambda name: {f"{name}{i}": f"{'abcdefgh'[i % 8]}{i:02d}-{r.randint(0, 9**(3 + i % 5))}" for i in range(40)}
+    found = renamed(spark, [row("field_") for _ in range(12)], [row("column_field_") for _ in range(12)])
+    assert sorted(found) == sorted(("renamed", f"field_{i}", f"column_field_{i}") for i in range(40))
