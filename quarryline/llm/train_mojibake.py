@@ -1,7 +1,8 @@
-"""Fits the tables of `mojibake`: python -m quarryline.llm.train_mojibake FOLDER OUT, with FOLDER holding documents.parquet.
+"""Fits the tables of `mojibake`: python -m quarryline.llm.train_mojibake FOLDER OUT [LOCALES], with FOLDER holding documents.parquet.
 
-Clean training text is what remains of the documents after plain tests for damage; each state's counts come from that
-text put through the state's damage. At most TEXTS documents are used.
+Clean training text is what remains of the documents after plain tests for damage, and of the message catalogues of public
+programs in further languages (LOCALES, a folder of gettext catalogues); each state's counts come from that text put
+through the state's damage. At most TEXTS documents and LINES lines of a language are used.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import numpy as np
 from quarryline.llm import mojibake as M
 
 TEXTS = 20_000
+LINES = 400
+FURTHER = ("cs", "sk", "hu", "ro", "hr", "sl", "sv", "da", "nb", "fi", "tr", "uk", "bg", "lt", "lv", "et")
 #: Letters outside ASCII of the languages at hand, and signs common to all (fixed values).
-LETTERS = "äöüßÄÖÜáéíóúñÁÉÍÓÚÑ¿¡àâçèêëîïôùûœæÀÂÇÈÊËÎÏÔÙÛãõÃÕąćęłńśźżĄĆĘŁŃŚŹŻğışĞİŞåÅ"
+LETTERS = "äöüßÄÖÜáéíóúñÁÉÍÓÚÑ¿¡àâçèêëîïôùûœæÀÂÇÈÊËÎÏÔÙÛãõÃÕąćęłńśźżĄĆĘŁŃŚŹŻğışĞİŞåÅæøÆØčďěňřšťůžČĎĚŇŘŠŤŮŽýÝľĺŕĽĹŔőűŐŰăâîșțşţĂÂÎȘȚŞŢđĐāēģīķļņūĀĒĢĪĶĻŅŪėįųĖĮŲ"
 SIGNS = "’‘“”„…–—«»•→←×µ°±≈≥≤─│├└┌┐┘┬┴┼━▓░█✓✗✔✖№€£·⚠│½²³\xa0 "
-CLEAN = re.compile(rf"^[\x00-\x7f{LETTERS}{SIGNS}Ѐ-џ　-ヿ一-鿿！-｠☀-➿️\U0001F300-\U0001FAFF]*$")
+CLEAN = re.compile(rf"^[\x00-\x7f{LETTERS}{SIGNS}Ѐ-џҐґ　-ヿ一-鿿！-｠☀-➿️\U0001F300-\U0001FAFF]*$")
 WRONG = re.compile(
     "[a-zA-Z][Ѐ-џ]|[Ѐ-џ][a-zA-Z]|[а-яё][А-ЯЁ]|[ÂÄÅÐÑ][\u0080-¿]|Ã(?!O|ES)|â[\u0080-¿€”“•™š…‚ƒ„†‡ˆ‰‹–—˜›]|³ |³$|[‚†‡‰][a-zA-Z]|[a-z][ÀÁÂÄÆÇÈÉËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ][a-z]|[РС][°±²³µ·Ѐ-Џ‘-„…]|[縺繧蜃鏂鐨锛]|&#\\d|[├└┤┬│─][a-zA-Z]|[a-zA-Z][├└┤┬│─┼]|[œæ][ł¿]|[¿¡](?![A-ZÁÉÍÓÚÑ])"
 )
@@ -40,11 +43,23 @@ def pair_counts(texts: list[str]) -> np.ndarray:
     return counts
 
 
-def main(folder: str, out: str) -> None:
+def further_texts(locales: str) -> list[str]:
+    """Lines of the catalogues beyond ASCII, the same number of each language."""
+    from quarryline.llm.train_pii import ordinary
+
+    out = []
+    for code in FURTHER:
+        lines = sorted({t for t in ordinary(locales, (code,)) if not t.isascii() and CLEAN.match(t) and not WRONG.search(t) and len(t) > 30})
+        out += lines[:: max(1, len(lines) // LINES)][:LINES]
+    return out
+
+
+def main(folder: str, out: str, locales: str | None = None) -> None:
     import pyarrow.dataset as ds
 
     texts = ds.dataset(f"{folder}/documents.parquet").head(TEXTS, columns=["text"])["text"].to_pylist()
     clean = [t for t in clean_texts(texts) if not t.isascii()]
+    clean += further_texts(locales) if locales else []
     print(len(texts), "texts,", len(clean), "clean ones beyond ASCII")
     rows = []
     for s, name in enumerate(M.NAMES):
@@ -73,4 +88,4 @@ def main(folder: str, out: str) -> None:
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    main(*sys.argv[1:4])
