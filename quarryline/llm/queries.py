@@ -117,6 +117,45 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(p8_containers(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
 
 
+_SOURCE = "nullif(regexp_replace(lower(trim({})), '[-\\s]+', '_', 'g'), '')"
+P8_CHECKS = f"""
+SELECT pack_id, count(*) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS cut_short, 0::BIGINT AS lost, 0::BIGINT AS misnumbered
+FROM (SELECT DISTINCT pack_id, capacity_tokens, {_SOURCE.format("source")} AS own FROM pack_sizes WHERE capacity_tokens > 0) p
+JOIN (SELECT doc_id, {_SOURCE.format("source")} AS source FROM documents) d ON p.own IS NULL OR d.source = p.own GROUP BY 1
+"""
+
+
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every packing, counted: its documents, and containers over their capacity, documents cut though
+    they fit, documents whose tokens aren't all placed, and containers missing in the numbering."""
+    sizes, packs = tokens.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_sizes")
+    placed = p8_containers(spark, sf_dir).join(F.broadcast(packs.select("pack_id", "capacity_tokens").distinct()), "pack_id")  # a row a packing
+    docs = placed.groupBy("pack_id", "doc_id", "capacity_tokens").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n")).join(sizes.select("doc_id", "n_tokens"), "doc_id")
+    of_docs = docs.groupBy("pack_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).alias("cut_short"), F.count_if(F.col("n") != F.col("n_tokens")).alias("lost"))
+    bins = placed.where("container_id IS NOT NULL").groupBy("pack_id", "container_id", "capacity_tokens").agg(F.sum("n_tokens").alias("n"))
+    of_bins = bins.groupBy("pack_id").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"), (F.max("container_id") + 1 - F.count("*")).alias("misnumbered"))
+    return of_docs.join(of_bins, "pack_id").select("pack_id", "documents", "overfull", "cut_short", "lost", "misnumbered")
+
+
+P9_CHECKS = f"""
+WITH t AS (SELECT mix_id, {_SOURCE.format("source")} AS source, sum(target_share) AS target_share FROM mix_targets GROUP BY ALL)
+SELECT mix_id, count(*) AS targets, round(sum(target_share), 9) AS target_share, 0::BIGINT AS over_cap, 0::BIGINT AS foreign_records, true AS shares_add_up FROM t WHERE source IS NOT NULL GROUP BY 1
+"""
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every mix, counted: its targets, documents used more often than their cap, records of a source
+    that isn't the document's, and whether the actual shares add up to one."""
+    rows, report = _mix(spark, sf_dir)
+    docs = tokens.token_counts(table(spark, sf_dir, "documents")).select("doc_id", F.col("source").alias("own"))
+    used = rows.groupBy("mix_id", "source", "doc_id").agg(F.count("*").alias("copies")).join(docs, "doc_id")
+    judged = used.join(F.broadcast(report.select("mix_id", "source", "max_repeats")), ["mix_id", "source"])  # a row a target
+    faults = judged.groupBy("mix_id").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("source") != F.col("own")).alias("foreign_records"))
+    mixes = report.groupBy("mix_id").agg(F.count("*").alias("targets"), F.round(F.sum("target_share"), 9).alias("target_share"), (F.abs(F.sum("actual_share") - 1) < 1e-4).alias("shares_add_up"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return mixes.join(faults, "mix_id", "left").select("mix_id", "targets", "target_share", zero("over_cap"), zero("foreign_records"), "shares_add_up")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(tokens.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
@@ -146,9 +185,11 @@ QUERIES = {
     "p7_daily_partials": p7_daily_partials,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_checks": p8_checks,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_checks": p9_checks,
     "p10_found": p10_found,
     "p10_restored": p10_restored,
 }
-SQL = {"p4_percentiles": P4, "p4_daily_partials": P4_DAILY, "p7_distinct": P7, "p7_daily_partials": P7_DAILY}
+SQL = {"p4_percentiles": P4, "p4_daily_partials": P4_DAILY, "p7_distinct": P7, "p7_daily_partials": P7_DAILY, "p8_checks": P8_CHECKS, "p9_checks": P9_CHECKS}
