@@ -28,22 +28,59 @@ def streak_summary(days: DataFrame, key: str, day: str, today: Column) -> DataFr
     )
 
 
+def _join_stretches(rows: DataFrame, carried: DataFrame, key: str) -> DataFrame:
+    """Rows with what is carried into their stretch (key, __stretch); null keys and times match each other."""
+    other = carried.withColumnsRenamed({key: "__key", "__stretch": "__at"})
+    return rows.join(other, F.col(key).eqNullSafe(F.col("__key")) & F.col("__stretch").eqNullSafe(F.col("__at")), "left").drop("__key", "__at")
+
+
+def lagged(df: DataFrame, key: str, at: str, tie: str, **columns: Column) -> DataFrame:
+    """The rows with each column's value at the key's previous row (by time, then tie).
+
+    A key's days are ordered apart from each other, so a key with a third of all rows is many tasks; the first row of a
+    day takes the last values of the day before it, of which there is one row per key and day.
+    """
+    own = df.withColumn("__stretch", F.to_date(at)).withColumn("__v", F.struct(*(c.alias(n) for n, c in columns.items())))
+    last = own.groupBy(key, "__stretch").agg(F.max_by("__v", F.struct(at, tie)).alias("__l"))
+    carried = last.select(key, "__stretch", F.lag("__l").over(Window.partitionBy(key).orderBy("__stretch")).alias("__c"))
+    inside = own.withColumn("__p", F.lag("__v").over(Window.partitionBy(key, "__stretch").orderBy(at, tie)))
+    both = _join_stretches(inside, carried, key).withColumn("__p", F.coalesce("__p", "__c"))
+    return both.select("*", *(F.col("__p")[n].alias(n) for n in columns)).drop("__stretch", "__v", "__p", "__c")
+
+
+def running_sum(df: DataFrame, key: str, at: str, tie: str, name: str, value: Column) -> DataFrame:
+    """The rows with the sum of a column over the key's rows up to each one, day by day like `lagged`."""
+    own = df.withColumn("__stretch", F.to_date(at)).withColumn("__v", value)
+    total = own.groupBy(key, "__stretch").agg(F.sum("__v").alias("__t"))
+    carried = total.select(key, "__stretch", F.coalesce(F.sum("__t").over(Window.partitionBy(key).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__c"))
+    inside = own.withColumn(name, F.sum("__v").over(Window.partitionBy(key, "__stretch").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)))
+    both = _join_stretches(inside, carried, key)
+    return both.withColumn(name, F.coalesce(name, F.lit(0)) + F.col("__c")).drop("__stretch", "__v", "__c")
+
+
 def gaps(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """Seconds since the key's previous row."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    return df.withColumn("gap_secs", (epoch_us(at) - F.lag(epoch_us(at)).over(w)) / 1e6)
+    return lagged(df, key, at, tie, __before=epoch_us(at)).withColumn("gap_secs", (epoch_us(at) - F.col("__before")) / 1e6).drop("__before")
 
 
 def trailing_count(df: DataFrame, key: str, at: str, seconds: int, name: str) -> DataFrame:
-    """Rows of the key in the trailing window, the row itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds + 1, 0)
-    return df.withColumn(name, F.count("*").over(w))
+    """Rows of the key in the trailing window, the row itself included.
+
+    Time is cut into stretches as long as the window: a row also stands, as an echo, in the next one, so that each
+    stretch is counted by itself and a key with a third of all rows is many tasks. Rows without a time count none.
+    """
+    secs = F.unix_seconds(F.col(at).cast("timestamp"))
+    own = df.withColumn("__s", secs).withColumn("__stretch", F.floor(secs / seconds))
+    echo = F.explode(F.when(F.col("__s").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    both = own.withColumn("__echo", echo).withColumn("__stretch", F.col("__stretch") + F.col("__echo"))
+    w = Window.partitionBy(key, "__stretch").orderBy("__s").rangeBetween(-seconds + 1, 0)
+    return both.withColumn(name, F.count("__s").over(w)).where("__echo = 0").drop("__s", "__stretch", "__echo")
 
 
 def spikes(df: DataFrame, key: str, at: str, tie: str, value: str, threshold: float) -> DataFrame:
     """Rows whose value differs from the key's previous one by at least the threshold."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    return df.withColumn("delta", F.col(value) - F.lag(value).over(w)).where(F.abs("delta") >= threshold)
+    before = lagged(df, key, at, tie, __before=F.col(value))
+    return before.withColumn("delta", F.col(value) - F.col("__before")).drop("__before").where(F.abs("delta") >= threshold)
 
 
 def concurrency(intervals: DataFrame, key: str, start: str, end: str, bucket: str) -> DataFrame:
@@ -75,10 +112,8 @@ def neighbours(df: DataFrame, key: str, at: str, value: str, k: int) -> DataFram
 
 def timeline(df: DataFrame, key: str, at: str, tie: str, cap_secs: float) -> DataFrame:
     """Offsets from the key's first row, idle gaps cut to `cap_secs`."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    gap = F.coalesce((epoch_us(at) - F.lag(epoch_us(at)).over(w)) / 1e6, F.lit(0.0))
-    own = df.withColumn("__gap", F.least(gap, F.lit(cap_secs)))
-    return own.withColumn("offset_secs", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap")
+    own = gaps(df, key, at, tie)
+    return running_sum(own, key, at, tie, "offset_secs", F.least(F.coalesce("gap_secs", F.lit(0.0)), F.lit(cap_secs))).drop("gap_secs")
 
 
 #: Parts a group's distinct values are cut into, by an approximate quantile sketch, before ranks are looked for in one.

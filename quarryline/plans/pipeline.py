@@ -96,6 +96,34 @@ SELECT sample_id, around AS parent_path, path AS child_path FROM walk WHERE foun
 """
 
 
+#: Every object of a record is an occurrence; each names a node.
+P1_CHECKS = P1_FOUND.rsplit("SELECT sample_id, around", 1)[0] + "SELECT sample_id AS record_id, count(*) AS objects, count(*) FILTER (found) AS elements, 0::BIGINT AS dangling FROM walk WHERE json_type(v) = 'OBJECT' GROUP BY 1"
+
+
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each record: its objects in the bridge, those in arrays, and those whose node or parent node isn't stored."""
+    m = table(spark, sf_dir, "memory_samples")
+    rows = nested_records.occurrences(m, "sample_id", "raw").select("record_id", "in_array", "node_id", "parent_node_id")
+    stored = nested_records.nodes(m, "sample_id", "raw").select(F.col("node_id").alias("id"), F.lit(1).alias("there"))
+    own = rows.join(stored.select(F.col("id").alias("node_id"), F.col("there").alias("own")), "node_id", "left").join(stored.select(F.col("id").alias("parent_node_id"), F.col("there").alias("up")), "parent_node_id", "left")
+    lost = F.col("own").isNull() | (F.col("parent_node_id").isNotNull() & F.col("up").isNull())
+    return own.groupBy("record_id").agg(F.count("*").alias("objects"), F.count_if("in_array").alias("elements"), F.count_if(lost).alias("dangling"))
+
+
+P3_CHECKS = """
+SELECT stream, feed, file_no, count(*) AS lines FROM raw_batches WHERE json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT' AND stream IN ('telemetry_events', 'transcript_uploads', 'memory_samples') GROUP BY ALL
+"""
+
+
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each file in the unified tables: none of its readable lines may be missing."""
+    out = None
+    for name in ("telemetry_events", "transcript_uploads", "memory_samples"):
+        own = _stream(name)(spark, sf_dir).groupBy("feed", "file_no").agg(F.count("*").alias("lines")).select(F.lit(name).alias("stream"), "feed", "file_no", "lines")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _samples_sql() -> str:
     """Leading figures of each record; a part that is JSON text is read as if it weren't quoted."""
     paths = {"rss_bytes": "process.rss_bytes", "pss_bytes": "process.os.pss_bytes", "allocated_bytes": "process.allocator.stats.allocated_bytes", "live_sessions": "sessions.live_count", "attributed_bytes": "totals.total_attributed_bytes", "timestamp_ms": "timestamp_ms"}
@@ -216,14 +244,16 @@ QUERIES = {
     "p1_bridge": p1_bridge,
     "p1_nodes": p1_nodes,
     **{f"p1_{n}": _table_of(n) for n in TABLES},
+    "p1_checks": p1_checks,
     "p2_features": p2_features,
     "p2_cells": p2_cells,
     "p3_found": p3_found,
     "p3_changes": p3_changes,
+    "p3_checks": p3_checks,
     "p3_telemetry_events": _stream("telemetry_events"),
     "p3_transcript_uploads": _stream("transcript_uploads"),
     "p3_memory_samples": _stream("memory_samples"),
     "p6_found": p6_found,
     "p6_by_period": p6_by_period,
 }
-SQL = {"p1_found": P1_FOUND, "p1_samples": _samples_sql()} | {f"p1_{n}": _table_sql(n) for n in TABLES} | {"p2_cells": P2_CELLS, "p6_found": P6_FOUND, "p6_by_period": P6_BY_PERIOD}
+SQL = {"p1_found": P1_FOUND, "p1_checks": P1_CHECKS, "p3_checks": P3_CHECKS, "p1_samples": _samples_sql()} | {f"p1_{n}": _table_sql(n) for n in TABLES} | {"p2_cells": P2_CELLS, "p6_found": P6_FOUND, "p6_by_period": P6_BY_PERIOD}

@@ -173,8 +173,7 @@ def tumbling_counters(spark, d):
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY fails_in_row DESC) = 1""")
 def failure_streak(spark, d):
     """Longest run of errors not interrupted by anything else."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = events(spark, d).withColumn("grp", F.sum(flag(F.col("event_type") != "error")).over(w)).groupBy("user_id", "grp").agg(F.sum(flag(F.col("event_type") == "error")).alias("n"))
+    runs = series.running_sum(events(spark, d), "user_id", "ts", "event_id", "grp", flag(F.col("event_type") != "error")).groupBy("user_id", "grp").agg(F.sum(flag(F.col("event_type") == "error")).alias("n"))
     return runs.groupBy("user_id").agg(F.max("n").alias("fails_in_row"))
 
 

@@ -170,3 +170,26 @@ def test_order_statistics(spark):
         assert x["n"] == len(values) and [x["p0"], x["p37"], x["p95"], x["p100"]] == [values[int((len(values) - 1) * p + 0.5)] for p in (0, 0.37, 0.95, 1)]
         assert middle[k] == pytest.approx((values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2)
     assert series.nearest_rank(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def test_series_by_day_against_a_loop(spark):
+    """Null keys and times, ties, several days: what one ordered window would give."""
+    import datetime
+
+    r = random.Random(8)
+    base = datetime.datetime(2026, 3, 1)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, base + datetime.timedelta(hours=r.randint(0, 200))]), i, r.choice([None, r.randint(0, 9)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, tie int, v int")
+    lag = {x["tie"]: x["p"] for x in series.lagged(df, "k", "at", "tie", p=F.col("v")).collect()}
+    total = {x["tie"]: x["s"] for x in series.running_sum(df, "k", "at", "tie", "s", F.col("v")).collect()}
+    count = {x["tie"]: x["n"] for x in series.trailing_count(df, "k", "at", 36_000, "n").collect()}
+    assert len(lag) == len(total) == len(count) == len(rows)
+    for key in ("a", "b", None):
+        mine = sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or base, x[2]))
+        before, s = None, 0
+        for _, at, tie, v in mine:
+            s += v or 0
+            assert lag[tie] == before and total[tie] == s
+            near = [x for x in mine if at is not None and x[1] is not None and 0 <= (at - x[1]).total_seconds() < 36_000]
+            assert count[tie] == len(near)
+            before = v
