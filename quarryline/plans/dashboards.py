@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.common import table
+from quarryline.operators import series
 from quarryline.operators.rollups import ENDED, flag
 from quarryline.plans.telemetry import REF, ev, ref_ts
 
@@ -240,7 +241,9 @@ _CASES = "(SELECT c_custkey AS case_id, c_mktsegment AS expect, count(*) AS tria
 def _cases(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
     share = lambda c: F.count_if(c) / F.count("*")
-    return o.groupBy(F.col("o_custkey").alias("case_id"), F.col("c_mktsegment").alias("expect")).agg(F.count("*").alias("trials"), share(F.col("o_orderstatus") == "F").alias("hit_rate"), share(F.col("o_orderpriority") == "1-URGENT").alias("call_rate"), F.median("o_totalprice").alias("median_time"))
+    rates = o.groupBy(F.col("o_custkey").alias("case_id"), F.col("c_mktsegment").alias("expect")).agg(F.count("*").alias("trials"), share(F.col("o_orderstatus") == "F").alias("hit_rate"), share(F.col("o_orderpriority") == "1-URGENT").alias("call_rate"))
+    middle = series.medians(table(spark, d, "orders"), ["o_custkey"], "o_totalprice").select(F.col("o_custkey").alias("case_id"), F.col("median").alias("median_time"))
+    return rates.join(middle, "case_id", "left")
 
 
 @query(f"SELECT expect, count(*) AS cases, sum(trials)::BIGINT AS trials, round(avg(hit_rate), 6) AS macro_hit_rate, round(sum(hit_rate * trials) / sum(trials), 6) AS micro_hit_rate, round(avg(1 - call_rate), 6) AS clean_rate, round(avg(median_time), 4) AS mean_median FROM {_CASES} GROUP BY 1")
@@ -264,7 +267,9 @@ def attempts_to_hit(spark, d):
     hit = F.when(F.col("o_orderstatus") == "F", F.col("attempt"))
     at = lambda c: F.unix_micros(F.min(c).cast("timestamp"))
     per = t.groupBy("o_custkey").agg(F.min(hit).alias("hit"), ((at(F.when(hit.isNotNull(), F.col("o_orderdate"))) - at(F.col("o_orderdate"))) / 8.64e10).alias("days"))
-    return per.agg(F.count("*").alias("trials"), F.count("hit").alias("successful"), F.count_if(F.col("hit") == 1).alias("first_attempt"), F.round(F.avg("hit"), 3).alias("mean_attempts"), F.round(F.median("days"), 3).alias("median_days"))
+    one = per.agg(F.count("*").alias("trials"), F.count("hit").alias("successful"), F.count_if(F.col("hit") == 1).alias("first_attempt"), F.round(F.avg("hit"), 3).alias("mean_attempts"))
+    middle = series.medians(per.withColumn("k", F.lit(1)), ["k"], "days").agg(F.round(F.max("median"), 3).alias("median_days"))
+    return one.crossJoin(middle)  # two single rows
 
 
 @query("""SELECT kind, weight FROM (SELECT kind, CASE WHEN sum(n) OVER () > 0 THEN n / sum(n) OVER () ELSE 1.0 / count(*) OVER () END AS weight FROM (SELECT kind, coalesce(n, 0) AS n FROM (VALUES ('web_pageview'), ('feedback'), ('install'), ('no_such_event')) k(kind) LEFT JOIN (SELECT event, count(*) AS n FROM telemetry_events GROUP BY 1) ON event = kind))
