@@ -12,6 +12,12 @@ def epoch_us(c: str | Column) -> Column:
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
+def epoch_ms(c: str | Column) -> Column:
+    """To the nearest millisecond, halves away from the epoch, as SQL's epoch_ms; unix_millis would round down."""
+    us = epoch_us(c)
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))
+
+
 def streaks(days: DataFrame, key: str, day: str) -> DataFrame:
     """Runs of consecutive days (gaps and islands): one row per key and run."""
     own = days.select(key, day).distinct()
@@ -160,7 +166,7 @@ def series_stats(df: DataFrame, key: str, at: str, tie: str, value: str, width_m
     Buckets are `width_ms` wide from the first event on, at least two; empty ones count as 0 without being made: sums over
     the buckets that have events are divided by the number there are.
     """
-    ms = F.unix_millis(F.col(at).cast("timestamp"))
+    ms = epoch_ms(at)
     own = df.select(F.col(key), F.col(value).alias("v"), ms.alias("t"), (ms - F.lag(ms).over(Window.partitionBy(key).orderBy(at, tie))).alias("gap"))
     s = own.groupBy(key).agg(F.count("*").alias("events"), F.round(F.avg("v"), 6).alias("mean_chunk"), F.max("v").alias("max_chunk"), F.round(F.avg("gap"), 3).alias("mean_gap_ms"), F.max("gap").alias("max_gap_ms"), F.min("t").alias("t0"), (F.max("t") - F.min("t")).alias("span_ms"))
     s = s.withColumn("n", F.greatest(F.floor(F.col("span_ms") / width_ms), F.lit(1)) + 1)

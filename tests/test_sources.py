@@ -193,3 +193,28 @@ def test_series_by_day_against_a_loop(spark):
             near = [x for x in mine if at is not None and x[1] is not None and 0 <= (at - x[1]).total_seconds() < 36_000]
             assert count[tie] == len(near)
             before = v
+
+
+def test_series_stats_rounds_times_like_sql(spark, tmp_path):
+    """Equal to the millisecond, which a tolerance for floats doesn't show: parts of a millisecond, times before 1970, a bucket's edge."""
+    import duckdb
+
+    from quarryline import plans
+
+    rows = [
+        (1, 0, 2.0), (1, 1_400, 3.0), (1, 2_500, 5.0), (1, 3_600, 7.0),  # 0, 1, 3, 4 ms
+        (2, -2_500, 1.0), (2, -1_499, 1.0), (2, -500, 1.0), (2, -499, 1.0), (2, 499, 1.0),  # -3, -1, -1, 0, 0 ms
+        (3, 0, 4.0), (3, 86_399_999_600, 8.0), (3, 172_800_000_000, 2.0),  # the second is of the second day
+        (4, 700, None), (5, None, 1.0), (5, 999, 2.0), (None, 5, 1.0),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE raw (user_id BIGINT, us BIGINT, value DOUBLE, event_id BIGINT)")
+    con.executemany("INSERT INTO raw VALUES (?, ?, ?, ?)", [(*r, i) for i, r in enumerate(rows)])
+    con.execute("CREATE TABLE events AS SELECT user_id, make_timestamp(us) AS ts, value, event_id FROM raw")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found = plans.queries()["series_stats"](spark, str(tmp_path))
+    ours = {r["user_id"]: tuple(r) for r in found.collect()}
+    assert {k: (r[5], r[6]) for k, r in ours.items()} == {1: (2, 4), 2: (2, 3), 3: (86_400_000, 172_800_000), 4: (None, 0), 5: (None, 0)}
+    assert ours[3][8] == 8.0
+    theirs = con.execute(f"SELECT {', '.join(found.columns)} FROM ({plans.sql()['series_stats']})").fetchall()
+    assert {r[0]: r for r in theirs} == ours
